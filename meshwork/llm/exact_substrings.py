@@ -173,3 +173,28 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int =
 
 def query(docs: DataFrame) -> DataFrame:
     return dedup(docs).drop("kept")
+
+
+SQL = """
+WITH t AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, text NULLS FIRST) AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), w AS (
+  SELECT r, p, substr(x, 2 * p + 1, 200) AS s FROM (SELECT r, x, unnest(range(CAST(length(x) // 2 - 99 AS BIGINT))) AS p FROM t WHERE length(x) >= 200)
+), gone AS (
+  SELECT r, p FROM (SELECT r, p, row_number() OVER (PARTITION BY md5(s) ORDER BY r, p) AS k FROM w) WHERE k > 1
+), runs AS (
+  SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS g FROM (
+    SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= 100 THEN 0 ELSE 1 END AS new FROM gone)
+), spans AS (
+  SELECT r, min(p) AS a, max(p) + 100 AS b FROM runs GROUP BY r, g
+), holes AS (
+  SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before FROM spans
+), kept AS (
+  SELECT t.r, count(*) AS n_spans, sum(b - a) AS n_removed,
+         string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS k
+  FROM holes JOIN t USING (r) GROUP BY t.r
+)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256
+FROM t LEFT JOIN kept USING (r)
+"""
