@@ -32,8 +32,12 @@ TRAIN_ROWS = 20_000
 #: Tokens in the model at most; the most significant stay.
 VOCABULARY = 50_000
 STEM = 4
-PRIOR = 1000.0
-SIGNIFICANT = 4.0
+#: Strength of the prior, as a share of all counts.
+PRIOR = 0.2
+SIGNIFICANT = 3.0
+#: Least share of toxic texts among those with a word, or with a stem, which also stands for words never seen.
+WORD_PURITY = 0.75
+STEM_PURITY = 0.95
 #: What a word without evidence costs a segment.
 DRIFT = 0.1
 THRESHOLD = 0.3
@@ -62,13 +66,13 @@ class Model:
         return maximal_segments(self.hits(words))
 
     def surprise(self, words: list[bytes]) -> tuple[float, list[tuple[int, int, float, float]]]:
-        """log(1 + sum of -ln E) over significant segments (E < 1), and those as (first, end, score, E)."""
+        """log(1 + sum of -ln E) over significant segments (E < 1), and those as (first, end, score, ln E)."""
         n, found = len(words), []
         for a, b, s in self.segments(words):
-            e = self.scale * n * math.exp(-self.rate * s)
-            if e < 1:
+            e = math.log(max(1e-300, self.scale * n)) - self.rate * s
+            if e < 0:
                 found.append((a, b, s, e))
-        return math.log1p(sum(-math.log(x[3]) for x in found)), found
+        return math.log1p(-sum(x[3] for x in found)), found
 
     def probability(self, x: float) -> float:
         z = self.intercept + self.slope * x
@@ -104,9 +108,8 @@ def maximal_segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> lis
 
 def log_odds(toxic: np.ndarray, other: np.ndarray, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds of each token between the two sides, and their z-scores, under an informative Dirichlet prior."""
-    both = toxic + other
-    a = prior * both / max(1, both.sum())
-    x, y, nx, ny = toxic + a, other + a, toxic.sum() + prior, other.sum() + prior
+    a = prior * (toxic + other)
+    x, y, nx, ny = toxic + a, other + a, toxic.sum() + a.sum(), other.sum() + a.sum()
     d = np.log(x / (nx - x)) - np.log(y / (ny - y))
     return d, d / np.sqrt(1 / x + 1 / y)
 
@@ -179,7 +182,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     rows = [(bytes(r["key"]) if r["key"] is not None else b"", r["toxic"], r["other"]) for r in rows if r["key"] is None or bytes(r["key"])[:1] != b" "]
     toxic, other = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float)
     d, z = log_odds(toxic, other)
-    best = [i for i in np.argsort(-z, kind="stable")[:VOCABULARY] if z[i] > SIGNIFICANT and rows[i][0]]
+    pure = toxic / np.maximum(1, toxic + other)
+    least = np.array([STEM_PURITY if r[0][:1] == b"^" else WORD_PURITY for r in rows])
+    best = [i for i in np.argsort(-z, kind="stable")[:VOCABULARY] if z[i] > SIGNIFICANT and pure[i] >= least[i] and rows[i][0]]
     model = Model({rows[i][0]: float(d[i]) for i in best if rows[i][0][:1] != b"^"}, {rows[i][0][1:]: float(d[i]) for i in best if rows[i][0][:1] == b"^"})
     scores = np.array([d[i] for i in best])
     share = np.array([(other[i] + 0.5) / (wo + 1) for i in best])
@@ -219,7 +224,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), pa
     """docs' columns in keep with score and predicted and, if passages, the significant toxic passages (in words)."""
     cols = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     held = docs.sparkSession.sparkContext.broadcast(model)
-    kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64())]))
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("log_e", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -229,10 +234,10 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), pa
                 x, segments = m.surprise(words_of(t.as_py()))
                 p.append(m.probability(x))
                 if passages:
-                    found.append([dict(zip(("first", "end", "score", "e_value"), s, strict=True)) for s in segments])
+                    found.append([dict(zip(("first", "end", "score", "log_e"), s, strict=True)) for s in segments])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(p, pa.float64()), pa.array([int(v >= THRESHOLD) for v in p], pa.int32()), *([pa.array(found, kind)] if passages else [])], [*keep, "score", "predicted", *["passages"] * passages])
 
-    schema = ", ".join([f"`{c}` {cols.schema[c].dataType.simpleString()}" for c in keep] + ["score double, predicted int"] + ["passages array<struct<first:int,end:int,score:double,e_value:double>>"] * passages)
+    schema = ", ".join([f"`{c}` {cols.schema[c].dataType.simpleString()}" for c in keep] + ["score double, predicted int"] + ["passages array<struct<first:int,end:int,score:double,log_e:double>>"] * passages)
     return cols.mapInArrow(run, schema)
 
 
