@@ -26,7 +26,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.col("w"), F.min("v")).alias("m"))
         large = both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large.filter("u <> v"), "large")
+        large = large.filter("u <> v")
         least = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
         small = large.join(least, F.col("u") == F.col("w"))
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v")))

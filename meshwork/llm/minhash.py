@@ -6,9 +6,9 @@ Documents that share a key are candidates; every candidate is verified on the fu
 At a similarity of 0.85 a pair shares no key with probability below 3e-4 (tables 7, width 2), at 0.9 below 3e-5.
 
 Steps: equal sets collapse to one representative. In each bucket members are compared with the smallest id. Components
-of these links are contracted; buckets that still hold several components are small pairs to compare in full, or, when
-large, are cut by further minima of the signature; what even then is large goes on with one member after another as
-the point of comparison. So a group of n copies costs n comparisons, and no bucket is capped.
+of these links are contracted. Buckets that still hold several components are compared in full across these if they are
+small; if large they are cut by further minima of the signature first. So a group of n copies costs n comparisons, and
+no bucket is capped.
 
 Cases: null and empty texts (or without words) have an empty set and link with nothing; fewer words than a shingle make
 one shingle; repeated rows have equal sets; rows that share an id take part one by one and report by id; an empty table
@@ -33,8 +33,11 @@ SHINGLE = 5
 LEAST = 85
 TABLES = 7
 WIDTH = 2
-#: Buckets of at most so many members are compared in full when they hold several components.
-SMALL = 24
+#: Buckets of at most so many members are compared in full when they hold several components. Larger ones are cut by
+#: GROUPS groups of three further minima, LEVELS times; what is mixed even then is compared in full.
+SMALL = 64
+GROUPS = 6
+LEVELS = 3
 #: Of the signature's minima so many must agree before sets are compared; at 0.85 fewer agree with probability 1e-6.
 AGREE = 12
 _seeds = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 2 * 64, dtype=np.uint64) | np.uint64(1)
@@ -124,9 +127,17 @@ def bucket_pairs(keys: DataFrame) -> DataFrame:
     return keys.join(first, F.col("key") == F.col("_k")).filter("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
+def across(rows: DataFrame, least: int) -> DataFrame:
+    """Pairs of a bucket's members in different components, of which the signature doesn't rule out that they link."""
+    x = rows.select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("minima").alias("mx"))
+    y = rows.select(F.col("key").alias("_k"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("minima").alias("my"))
+    on = (F.col("key") == F.col("_k")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (agreement(F.col("mx"), F.col("my")) >= AGREE)
+    return x.join(y, on).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, least: int = LEAST, tables: int = TABLES, width: int = WIDTH) -> DataFrame:
     """(_rid, doc_id, n_shingles, component_id) for docs (doc_id, text)."""
-    rows = with_row_id(docs.select("doc_id", "text"))
+    rows = docs.select("doc_id", "text", "_rid") if "_rid" in docs.columns else with_row_id(docs.select("doc_id", "text"))
     signed = materialize(signatures(rows, tables, width), "signatures")
     reps = signed.filter("set_hash is not null").groupBy("set_hash").agg(F.min("_rid").alias("rep"))
     reps = materialize(reps, "representatives")
@@ -158,31 +169,21 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, tables: int = TABLES, w
         return x.join(s, F.col("key") == F.col("_k")).drop("_k")
 
     rest = materialize(mixed(mkeys), "mixed")
-    for level in range(64):
+    for level in range(LEVELS + 1):
         if rest.isEmpty():
             break
-        small = rest.filter(f"n <= {SMALL}").select("key", "id", "c")
-        other = small.select(F.col("key").alias("_k"), F.col("id").alias("b"), F.col("c").alias("d"))
-        near = small.join(other, (F.col("key") == F.col("_k")) & (F.col("c") != F.col("d")) & (F.col("id") < F.col("b"))).select(F.col("id").alias("a"), "b").distinct()
-        large = rest.filter(f"n > {SMALL}")
-        if level < 2:  # cut by one more minimum each; a similar pair agrees on one of them all but certainly
-            cut = large.select("id", "minima", "key", F.posexplode("minima").alias("i", "x")).select("id", "minima", F.xxhash64("key", "i", "x").alias("key"))
-            star = bucket_pairs(cut)
-        else:  # one member after another is the point of comparison; it then leaves its bucket
-            cut = large.select("id", "minima", "key")
-            star = bucket_pairs(cut)
-            first = cut.groupBy(F.col("key").alias("_k")).agg(F.min("id").alias("_f"))
-            cut = cut.join(first, F.col("key") == F.col("_k")).filter("id <> _f").select("id", "minima", "key")
-        cut = materialize(cut, "cut")
-        found = materialize(verified(near.unionByName(star).distinct(), sets, least), "verified")
+        last = level == LEVELS
+        near = across(rest if last else rest.filter(f"n <= {SMALL}"), least)
+        large = rest.filter(F.lit(False) if last else F.col("n") > SMALL)
+        # a similar pair agrees on one of the groups of minima, in one of all its buckets, all but certainly
+        groups = [[(level + g + k * GROUPS) % (2 * tables * width) for k in range(3)] for g in range(GROUPS)]
+        parts = F.array(*[F.xxhash64("key", F.lit(level), F.lit(g), *[F.col("minima")[x] for x in group]) for g, group in enumerate(groups)])
+        cut = materialize(large.select("id", "minima", F.explode(parts).alias("key")), "cut")
+        found = materialize(verified(near.unionByName(bucket_pairs(cut.select("id", "key"))).distinct(), sets, least), "verified")
         if not found.isEmpty():
             links.append(found)
             label = labels()
-        if cut.isEmpty():
-            break
         rest = materialize(mixed(cut), "mixed")
-    else:
-        raise RuntimeError("buckets of unlike documents remain; use a wider signature")
     rep = reps.join(label, F.col("rep") == F.col("id"), "left").select(F.col("set_hash").alias("_h"), F.coalesce("component_id", "rep").alias("_c"))
     out = signed.select("_rid", "doc_id", "n_shingles", "set_hash").join(rep, F.col("set_hash") == F.col("_h"), "left")
     return out.select("_rid", "doc_id", "n_shingles", F.coalesce("_c", "_rid").alias("component_rid"))
@@ -196,3 +197,10 @@ def query(docs: DataFrame) -> DataFrame:
         return out.select("doc_id", "n_shingles", F.col("_c").alias("component_id"), "kept")
     ids = out.filter("kept").select(F.col("_rid").alias("_r"), F.col("doc_id").alias("component_id"))
     return out.join(ids, F.col("_c") == F.col("_r"), "left").select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """docs' rows with the smallest row id of their components. Rows that can't link all stay."""
+    rows = with_row_id(docs)
+    first = near_duplicates(rows).filter("_rid = component_rid").select(F.col("_rid").alias("_first"))
+    return rows.join(first, F.col("_rid") == F.col("_first"), "left_semi").drop("_rid")
