@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -54,17 +55,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def collect_garbage(spark: SparkSession) -> None:
-    """Lets Spark drop shuffle files of finished jobs now rather than at the driver's next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark drop shuffle files of finished jobs now rather than at the driver's next collection.
+
+    The first round frees Python's handles on the JVM's plans, the second what only these plans held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage and survives lost executors."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    spark, path, schema = df.sparkSession, scratch_path(df.sparkSession, name), df.schema
     df.write.parquet(path)
+    del df
     collect_garbage(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
