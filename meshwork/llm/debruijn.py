@@ -36,12 +36,11 @@ def _values(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def compact(edges: DataFrame, window: int) -> DataFrame:
-    """Traversals (rid, head, first, end) of nonbranching paths by edges (rid, first, count, anchor, hash).
+    """Traversals (rid, head, first, end) of nonbranching paths by edges (rid, first, count, hash).
 
     An edge is linked to the next one only if all occurrences of either are occurrences of both in a row.
     """
-    e = edges.withColumn("edge", F.xxhash64("anchor", "hash")).select("rid", "first", "count", "edge")
-    e = materialize(e, "edges")
+    e = edges.select("rid", "first", "count", F.col("hash").alias("edge"))
     follow = W.partitionBy("rid").orderBy("first")
     e2 = e.withColumn("_n", F.lead(F.struct("first", "edge")).over(follow))
     e2 = e2.withColumn("next", F.when(F.col("_n.first") == F.col("first") + F.col("count"), F.col("_n.edge")))

@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import PIECE, materialize, split_long, text_pieces, window_segments
+from meshwork.llm.common import PIECE, materialize, mix, split_long, text_pieces, window_segments
 
-#: settled: the windows are known to be repeats of earlier rows in the batch.
-SCHEMA = "rid long, first int, count int, place int, anchor long, hash long, settled boolean, copies boolean"
-_arrow = pa.schema([("rid", pa.int64()), ("first", pa.int32()), ("count", pa.int32()), ("place", pa.int32()), ("anchor", pa.int64()), ("hash", pa.int64()), ("settled", pa.bool_()), ("copies", pa.bool_())])
+#: at: first window << 10 | number of windows << 2 | settled << 1 | copies. settled: the segment repeats an earlier one of
+#: its batch, and anchor only deals it out; copies: an equal one is in the batch.
+SCHEMA = "rid long, at long, anchor long, hash long"
+_arrow = pa.schema([("rid", pa.int64()), ("at", pa.int64()), ("anchor", pa.int64()), ("hash", pa.int64())])
 
 #: From bytes and document offsets to values and the documents' offsets in them.
 Values = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -37,7 +38,7 @@ def batch_segments(texts: pa.Array, rids: np.ndarray, values: Values, length: in
             s["first"] = s["first"] + lo
             s["rid"] = rids[s["doc"] + a]
             parts.append(s)
-    return {x: np.concatenate([p[x] for p in parts]) if parts else np.zeros(0, np.int64) for x in ("rid", "first", "count", "place", "anchor", "hash")}
+    return {x: np.concatenate([p[x] for p in parts]) if parts else np.zeros(0, np.int64) for x in ("rid", "first", "count", "anchor", "hash")}
 
 
 def segments(rows: DataFrame, values: Values, length: int, k: int) -> DataFrame:
@@ -56,31 +57,33 @@ def segments(rows: DataFrame, values: Values, length: int, k: int) -> DataFrame:
             again[1:] = (a[1:] == a[:-1]) & (h[1:] == h[:-1])
             copies = again.copy()
             copies[:-1] |= again[1:]
-            cols = [s[x][order] for x in ("rid", "first", "count", "place")]
+            rid, first, count = (s[x][order] for x in ("rid", "first", "count"))
+            packed = (first << 10) | (count << 2) | (again.astype(np.int64) << 1) | copies
+            a = np.where(again, mix(rid.astype(np.uint64) * np.uint64(31) + first.astype(np.uint64)).view(np.int64), a)
+            back = np.lexsort((first, rid))  # neighbours in the table are alike, which compresses
             for at in range(0, n, 1 << 17):
-                z = slice(at, at + (1 << 17))
-                yield pa.RecordBatch.from_arrays([pa.array(c[z], t) for c, t in zip([*cols, a, h, again, copies], _arrow.types, strict=True)], schema=_arrow)
+                z = back[at : at + (1 << 17)]
+                yield pa.RecordBatch.from_arrays([pa.array(c[z]) for c in (rid, packed, a, h)], schema=_arrow)
 
     return rows.select("_rid", F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def compared(segs: DataFrame, name: str) -> DataFrame:
-    """Segments that aren't alone, as a table: (rid, first, count, place, anchor, hash, again, copies, mixed).
+    """Segments that aren't alone, as a table: (rid, first, count, anchor, hash, again, copies, mixed).
 
-    again: an equal segment comes earlier; copies: an equal one exists; mixed: unequal ones share the anchor.
-    One shuffle by anchor, in which settled rows are dealt at random.
+    again: an equal segment comes earlier; copies: an equal one exists; mixed: unequal ones share the anchor. hash names
+    a segment's content. One shuffle by anchor.
     """
-    key = F.when(F.col("settled"), F.xxhash64("rid", "first")).otherwise(F.col("anchor"))
-    x = segs.withColumn("part", key)
-    group = W.partitionBy("part")
-    order = group.orderBy("settled", "anchor", "hash", "rid", "first")
-    same = lambda o: F.coalesce((o["anchor"] == F.col("anchor")) & (o["hash"] == F.col("hash")) & ~o["settled"] & ~F.col("settled"), F.lit(False))
-    row = F.struct("anchor", "hash", "settled")
-    x = x.withColumn("_prev", F.lag(row).over(order)).withColumn("_next", F.lead(row).over(order))
-    live = F.when(~F.col("settled"), F.col("hash"))
-    x = x.withColumn("mixed", F.coalesce(F.min(live).over(group) < F.max(live).over(group), F.lit(False)) & ~F.col("settled"))
-    x = x.withColumn("again", F.col("settled") | same(F.col("_prev"))).withColumn("copies", F.col("copies") | F.col("again") | same(F.col("_next")))
-    return materialize(x.filter("again or copies or mixed").select("rid", "first", "count", "place", "anchor", "hash", "again", "copies", "mixed"), name)
+    settled = F.col("at").bitwiseAND(F.lit(2)) != 0
+    group = W.partitionBy("anchor")
+    order = group.orderBy("hash", "rid", "at")
+    same = lambda o: F.coalesce(o == F.col("hash"), F.lit(False))
+    x = segs.withColumn("_prev", F.lag("hash").over(order)).withColumn("_next", F.lead("hash").over(order))
+    x = x.withColumn("mixed", F.min("hash").over(group) < F.max("hash").over(group))
+    x = x.withColumn("again", settled | same(F.col("_prev")))
+    x = x.withColumn("copies", (F.col("at").bitwiseAND(F.lit(1)) != 0) | F.col("again") | same(F.col("_next")))
+    x = x.filter("again or copies or mixed").select("rid", F.shiftright("at", 10).cast("int").alias("first"), F.shiftright("at", 2).bitwiseAND(F.lit(255)).cast("int").alias("count"), "anchor", "hash", "again", "copies", "mixed")
+    return materialize(x, name)
 
 
 def spans_by_row(spans: DataFrame) -> DataFrame:
