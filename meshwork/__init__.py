@@ -1 +1,3 @@
 """A property-graph and analytics engine on Spark DataFrames."""
+
+__version__ = "0.1.0"
