@@ -5,10 +5,14 @@ set. Table keys are all pairs of one hash from each collection, so tables**2 key
 Documents that share a key are candidates; every candidate is verified on the full shingle sets, so no link is false.
 At a similarity of 0.85 a pair shares no key with probability below 3e-4 (tables 7, width 2), at 0.9 below 3e-5.
 
-Steps: equal sets collapse to one representative. In each bucket members are compared with the smallest id. Components
-of these links are contracted. Buckets that still hold several components are compared in full across these if they are
-small; if large they are cut by further minima of the signature first. So a group of n copies costs n comparisons, and
-no bucket is capped.
+Steps: equal sets collapse to one representative. Members of a bucket are tied to its smallest id; what hangs together
+by these ties is a group, and links stay within groups. Small groups are compared in full. A large group gets a core C,
+the shingles that most of its members hold. A member x differs from the core in D(x) shingles, and two members differ
+in |D(x)| + |D(y)| - 2 * |D(x) & D(y)|. So some pairs link for certain: of these the one with the member nearest to the
+core does for components. For any other pair to link, D(x) & D(y) has to be large. Members that share a shingle which
+few hold meet at that shingle. All others can only have common parts of D in common, which rules out nearly all pairs;
+what is left of these meets within ties and, across components, within buckets, large ones cut by further minima of the
+signature. So n near copies of one text cost some n comparisons, whatever they differ in, and no bucket is capped.
 
 Cases: null and empty texts (or without words) have an empty set and link with nothing; fewer words than a shingle make
 one shingle; repeated rows have equal sets; rows that share an id take part one by one and report by id; an empty table
@@ -33,11 +37,17 @@ SHINGLE = 5
 LEAST = 85
 TABLES = 7
 WIDTH = 2
-#: Buckets of at most so many members are compared in full when they hold several components. Larger ones are cut by
-#: GROUPS groups of three further minima, LEVELS times; what is mixed even then is compared in full.
+#: Groups of at most so many members are compared in full.
+FEW = 6
+#: A shingle that at most so many members of a group hold is a rarer one.
 SMALL = 64
+#: Buckets of at most so many open members are compared in full, by a join that yields what distances leave. Larger ones
+#: are cut by GROUPS groups of three further minima, LEVELS times; what is mixed even then is compared in full.
+FULL = 512
 GROUPS = 6
 LEVELS = 3
+#: At most so many ids (8 bytes each) are broadcast to pick texts; beyond, texts are shuffled to their ids.
+IDS = 1 << 20
 #: Of the signature's minima so many must agree before sets are compared; at 0.85 fewer agree with probability 1e-6.
 AGREE = 12
 _seeds = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 2 * 64, dtype=np.uint64) | np.uint64(1)
@@ -127,14 +137,72 @@ def bucket_pairs(keys: DataFrame) -> DataFrame:
     return keys.join(first, F.col("key") == F.col("_k")).filter("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
+def possible(least: int, h: str) -> Column:
+    """Whether what a and b can have in common beside the core (ha, hb) makes up for their distances from it (fa, fb)."""
+    return F.col("fa") + F.col("fb") <= 2 * (100 + least) * F.least(f"{h}a", f"{h}b")
+
+
+def sides(stats: DataFrame, *cols: str) -> tuple[DataFrame, DataFrame]:
+    """stats as the two sides of a pair: (cols, a, fa, ha, ka) and (_cols, b, fb, hb, kb)."""
+    side = lambda s, mark: stats.select(*(F.col(c).alias(mark + c) for c in cols), F.col("id").alias(s), *(F.col(c).alias(c + s) for c in ("f", "h", "k")))
+    return side("a", ""), side("b", "_")
+
+
 def across(rows: DataFrame, least: int) -> DataFrame:
-    """Pairs of a bucket's members in different components, of which the signature doesn't rule out that they link."""
-    x = rows.select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("minima").alias("mx"))
-    y = rows.select(F.col("key").alias("_k"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("minima").alias("my"))
-    on = (F.col("key") == F.col("_k")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (agreement(F.col("mx"), F.col("my")) >= AGREE)
+    """Pairs of a bucket's members in different components that neither core nor signature rules out."""
+    x, y = sides(rows, "key", "c", "minima")
+    on = (F.col("key") == F.col("_key")) & (F.col("a") < F.col("b")) & (F.col("c") != F.col("_c")) & possible(least, "k") & (agreement(F.col("minima"), F.col("_minima")) >= AGREE)
     return x.join(y, on).select("a", "b").distinct()
 
 
+def within_few(sets: DataFrame) -> DataFrame:
+    """All pairs of groups of FEW members at most that the signature doesn't rule out."""
+    few = sets.filter(F.col("size") <= FEW)
+    x, y = few.select("g", F.col("id").alias("a"), F.col("minima").alias("mx")), few.select(F.col("g").alias("_g"), F.col("id").alias("b"), F.col("minima").alias("my"))
+    return x.join(y, (F.col("g") == F.col("_g")) & (F.col("a") < F.col("b")) & (agreement(F.col("mx"), F.col("my")) >= AGREE)).select("a", "b")
+
+
+def core_distances(sets: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(id, g, f, h, k) of the members of large groups, and (id, key) of those that hold one of its rarer shingles.
+
+    f is (100 + least) * |D| - (100 - least) * |s|, so a pair links for certain if its f sum to 0 or less. h counts the
+    part of D that another member might share, k what is common of it: missing parts of the core, and shingles that more
+    than SMALL members hold. Shingles are counted with a partial aggregation before the shuffle; a core has at most twice
+    as many shingles as the mean set.
+    """
+    many = sets.filter(F.col("size") > FEW)
+    each = many.select("g", "size", "id", F.explode("s").alias("x"))
+    counted = each.groupBy("g", "x").agg(F.count("*").alias("df"), F.min("id").alias("one"), (2 * F.count("*") > F.max("size")).alias("core"))
+    counted = materialize(counted.filter(f"core or df <= {SMALL}"), "counted")
+    cores = counted.filter("core").groupBy(F.col("g").alias("_g")).agg(F.collect_list("x").alias("core"))
+    alone = counted.filter("df = 1").groupBy(F.col("one").alias("_i")).agg(F.count("*").alias("u"))
+    rare = counted.filter("df > 1 and not core").select(F.col("g").alias("_g"), F.col("x").alias("_x"))
+    rare = materialize(each.join(rare, (F.col("g") == F.col("_g")) & (F.col("x") == F.col("_x"))).select("id", F.xxhash64("g", "x").alias("key")), "rare")
+    held = rare.groupBy(F.col("id").alias("_r")).agg(F.count("*").alias("r"))
+    size = F.coalesce(F.size("core"), F.lit(0)) + F.size("s") - 2 * F.when(F.col("core").isNull(), 0).otherwise(F.size(F.array_intersect("s", "core")))
+    at = many.join(cores, F.col("g") == F.col("_g"), "left").select("id", "g", F.size("s").cast("long").alias("n"), size.cast("long").alias("d"))
+    at = at.join(alone, F.col("id") == F.col("_i"), "left").join(held, F.col("id") == F.col("_r"), "left").withColumn("h", F.col("d") - F.coalesce("u", F.lit(0)))
+    out = at.select("id", "g", ((100 + least) * F.col("d") - (100 - least) * F.col("n")).alias("f"), "h", (F.col("h") - F.coalesce("r", F.lit(0))).alias("k"))
+    return materialize(out, "distances"), rare
+
+
+def sharing(rare: DataFrame, stats: DataFrame, least: int) -> DataFrame:
+    """Pairs that share a rarer shingle and that distances don't rule out."""
+    x, y = sides(rare.join(stats.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i")), "key")
+    return x.join(y, (F.col("key") == F.col("_key")) & (F.col("a") < F.col("b")) & possible(least, "h")).select("a", "b").distinct()
+
+
+def still_open(placed: DataFrame, least: int) -> DataFrame:
+    """Of placed (id, g, f, h, k, c) the members that may link to another component by common parts of D alone."""
+    placed = placed.withColumn("r", F.col("f") - 2 * (100 + least) * F.col("k"))
+    each = placed.groupBy("g", "c").agg(F.min("f").alias("f"), F.min("r").alias("r"))
+    one = each.groupBy(F.col("g").alias("_g")).agg(F.min(F.struct("f", "c")).alias("bf"), F.min(F.struct("r", "c")).alias("br"), F.count("*").alias("k")).filter("k > 1")
+    two = each.join(one, F.col("g") == F.col("_g")).groupBy("_g").agg(F.first("bf").alias("bf"), F.first("br").alias("br"), F.min(F.when(F.col("c") != F.col("bf.c"), F.col("f"))).alias("f2"), F.min(F.when(F.col("c") != F.col("br.c"), F.col("r"))).alias("r2"))
+    x = placed.join(two, F.col("g") == F.col("_g"))
+    f, r = F.when(F.col("c") != F.col("bf.c"), F.col("bf.f")).otherwise(F.col("f2")), F.when(F.col("c") != F.col("br.c"), F.col("br.r")).otherwise(F.col("r2"))
+    return x.filter((F.col("r") + f <= 0) & (F.col("f") + r <= 0)).select("id", "g", "f", "h", "k")
+
+
 def near_duplicates(docs: DataFrame, least: int = LEAST, tables: int = TABLES, width: int = WIDTH) -> DataFrame:
     """(_rid, doc_id, n_shingles, component_id) for docs (doc_id, text)."""
     rows = docs.select("doc_id", "text", "_rid") if "_rid" in docs.columns else with_row_id(docs.select("doc_id", "text"))
@@ -142,43 +210,51 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, tables: int = TABLES, w
     reps = signed.filter("set_hash is not null").groupBy("set_hash").agg(F.min("_rid").alias("rep"))
     reps = materialize(reps, "representatives")
     own = signed.join(reps.select(F.col("rep").alias("_rid")), "_rid").select(F.col("_rid").alias("id"), "a", "b", "minima")
-    keys = own.select("id", "b", F.posexplode("a").alias("i", "x")).select("id", "i", "x", F.posexplode("b").alias("j", "y"))
-    keys = keys.select("id", F.xxhash64("i", "x", "j", "y").alias("key"))
-    pairs = materialize(bucket_pairs(keys), "pairs")
+    keyed = lambda x, *cols: x.select("id", *cols, "b", F.posexplode("a").alias("i", "x")).select("id", *cols, "i", "x", F.posexplode("b").alias("j", "y")).select("id", *cols, F.xxhash64("i", "x", "j", "y").alias("key"))
+    pairs = materialize(bucket_pairs(keyed(own)), "pairs")
     # only members of buckets with others can link; their sets are computed once, the signature beside them
-    inside = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "_i")
-    member = own.join(inside, F.col("id") == F.col("_i")).select("id", "a", "b", "minima")
-    member = materialize(member, "members")
-    texts = rows.join(inside, F.col("_rid") == F.col("_i"), "left_semi").select("_rid", "text")
-    sets = full_sets(texts).join(member.select("id", "minima"), "id")
-    sets = materialize(sets, "sets")
-    links = [materialize(verified(pairs, sets, least), "verified")]
+    group = materialize(components(pairs).withColumnsRenamed({"id": "_i", "component_id": "g"}), "groups")
+    group = group.join(group.groupBy(F.col("g").alias("_g")).agg(F.count("*").alias("size")), F.col("g") == F.col("_g")).drop("_g")
+    member = materialize(own.join(group, F.col("id") == F.col("_i")).drop("_i"), "members")
+    ids = member.select(F.col("id").alias("_i"))
+    texts = rows.join(F.broadcast(ids) if ids.count() <= IDS else ids, F.col("_rid") == F.col("_i"), "left_semi").select("_rid", "text")
+    sets = materialize(full_sets(texts).join(member.select("id", "g", "size", "minima"), "id"), "sets")
+    stats, rare = core_distances(sets, least)
+    best = stats.groupBy(F.col("g").alias("_g")).agg(F.min(F.struct("f", "id")).alias("b"))
+    sure = stats.join(best, F.col("g") == F.col("_g")).filter("f + b.f <= 0 and id <> b.id").select(F.col("b.id").alias("a"), F.col("id").alias("b"))
+    x, y = sides(stats)
+    tied = pairs.join(x, "a").join(y, "b").filter(F.col("fa") + F.col("fb") > 0).filter(possible(least, "k")).select("a", "b")
+    near = reduce(DataFrame.unionByName, [within_few(sets), tied, sharing(rare, stats, least)]).distinct()
+    links = [materialize(sure, "sure"), materialize(verified(near, sets, least), "verified")]
 
     def labels() -> DataFrame:
-        found = components(reduce(DataFrame.unionByName, links))
-        return materialize(found, "components")
-
-    label = labels()
-    mkeys = member.select("id", "minima", "b", F.posexplode("a").alias("i", "x")).select("id", "minima", "i", "x", F.posexplode("b").alias("j", "y")).select("id", "minima", F.xxhash64("i", "x", "j", "y").alias("key"))
+        return materialize(components(reduce(DataFrame.unionByName, links)), "components")
 
     def mixed(keys: DataFrame) -> DataFrame:
         """Rows of buckets that hold several components, with the component and the bucket's size."""
-        lab = label.withColumnRenamed("id", "_i")
-        x = keys.join(lab, F.col("id") == F.col("_i"), "left").withColumn("c", F.coalesce("component_id", "id")).drop("_i", "component_id")
+        x = keys.join(label.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"), "left").withColumn("c", F.coalesce("component_id", "id")).drop("_i", "component_id")
         s = x.groupBy(F.col("key").alias("_k")).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("_k", "n")
         return x.join(s, F.col("key") == F.col("_k")).drop("_k")
 
-    rest = materialize(mixed(mkeys), "mixed")
+    label = labels()
+    placed = stats.join(label.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"), "left").withColumn("c", F.coalesce("component_id", "id"))
+    alive = materialize(still_open(placed, least).withColumnsRenamed({"id": "_i", "g": "_g"}), "open")
+    # where few are left of a group, the group itself serves as their bucket
+    left = alive.groupBy(F.col("_g").alias("_a")).agg(F.count("*").alias("left"))
+    alive = member.join(alive, F.col("id") == F.col("_i")).join(left, F.col("_g") == F.col("_a"))
+    cols = ("minima", "f", "h", "k")
+    keys = alive.filter(F.col("left") <= FULL).select("id", *cols, F.xxhash64("g").alias("key"))
+    rest = materialize(mixed(keys.unionByName(keyed(alive.filter(F.col("left") > FULL), *cols))), "mixed")
     for level in range(LEVELS + 1):
         if rest.isEmpty():
             break
         last = level == LEVELS
-        near = across(rest if last else rest.filter(f"n <= {SMALL}"), least)
-        large = rest.filter(F.lit(False) if last else F.col("n") > SMALL)
+        near = across(rest if last else rest.filter(f"n <= {FULL}"), least)
+        large = rest.filter(F.lit(False) if last else F.col("n") > FULL)
         # a similar pair agrees on one of the groups of minima, in one of all its buckets, all but certainly
         groups = [[(level + g + k * GROUPS) % (2 * tables * width) for k in range(3)] for g in range(GROUPS)]
         parts = F.array(*[F.xxhash64("key", F.lit(level), F.lit(g), *[F.col("minima")[x] for x in group]) for g, group in enumerate(groups)])
-        cut = materialize(large.select("id", "minima", F.explode(parts).alias("key")), "cut")
+        cut = materialize(large.select("id", "minima", "f", "h", "k", F.explode(parts).alias("key")), "cut")
         found = materialize(verified(near.unionByName(bucket_pairs(cut.select("id", "key"))).distinct(), sets, least), "verified")
         if not found.isEmpty():
             links.append(found)
