@@ -17,7 +17,7 @@ from meshwork.functions.scalars import spark_type
 from meshwork.operators import algorithms, search
 from meshwork.operators.tables import Catalog, CatalogError, NodeTable, RelTable, Sequence
 from meshwork.plans import nodes as n
-from meshwork.plans.lineage import settled
+from meshwork.plans.lineage import scratch, settled
 from meshwork.plans.lower import Lowering
 from meshwork.plans.parser import parse
 from meshwork.sources import catalogs, databases, files
@@ -85,6 +85,9 @@ class Engine:
         schema = T.StructType([*df.schema.fields, T.StructField(column, T.LongType())])
         return self.spark.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + start)), schema)
 
+    def scratch(self, name: str) -> str:
+        return scratch(self.spark, name)
+
     def next(self, name: str) -> int:
         return self._sequence(name).next()
 

@@ -116,6 +116,12 @@ def set_seed(ctx: Context, x: Column) -> Column:
     return lit(0).cast("long")
 
 
+def series_udf(f: Callable, kind: str, series: type):
+    """A pandas UDF of a function from series to series; its hints are set here, as pandas is imported late."""
+    f.__annotations__ = dict.fromkeys([*f.__code__.co_varnames[: f.__code__.co_argcount], "return"], series)
+    return F.pandas_udf(f, kind)
+
+
 @functools.cache
 def pandas_only(name: str):
     """Functions that Spark has no expression for, as vectorised pandas UDFs."""
@@ -129,7 +135,7 @@ def pandas_only(name: str):
     def lgamma(x: pd.Series) -> pd.Series:
         return x.map(lambda v: v if v != v else math.inf if v <= 0 and v == int(v) else math.lgamma(v))
 
-    return F.pandas_udf({"gamma": gamma, "lgamma": lgamma}[name], "double")
+    return series_udf({"gamma": gamma, "lgamma": lgamma}[name], "double", pd.Series)
 
 
 plain(lambda x: pandas_only("gamma")(x.cast("double")), "gamma")
@@ -567,7 +573,7 @@ def json_udf(name: str):
         return one(lambda v: "\n".join(outline(v)))(s)
 
     f, t = {"contains": (contains, "boolean"), "type": (type_name, "string"), "structure": (structure, "string")}[name]
-    return F.pandas_udf(f, t)
+    return series_udf(f, t, pd.Series)
 
 
 plain(lambda a, b: json_udf("contains")(a, b), "json_contains")
@@ -609,7 +615,7 @@ def embedding(text: Column, provider: Column | None = None, model: Column | None
     def run(s: pd.Series) -> pd.Series:
         return pd.Series(f([x or "" for x in s]))
 
-    return F.pandas_udf(run, "array<double>")(text)
+    return series_udf(run, "array<double>", pd.Series)(text)
 
 
 def hashing_embedder(texts: list[str]) -> list[list[float]]:

@@ -107,11 +107,11 @@ def strong_components(edges: DataFrame, vertices: DataFrame | None = None, direc
             break
         colour = _spread_max(e, left.select("id", F.col("id").alias("c")))
         a, b = colour.select(F.col("id").alias("src"), F.col("c").alias("ca")), colour.select(F.col("id").alias("dst"), F.col("c").alias("cb"))
-        within = settled(e.join(a, "src").join(b, "dst").filter("ca = cb").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("ca").alias("c")))
+        within = settled(e.join(a, "src").join(b, "dst").filter("ca = cb").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("ca").alias("w")))
         mark = settled(colour.filter("id = c").select("id", "c"))
         frontier = mark
         while True:
-            step = frontier.join(within, (F.col("id") == F.col("src")) & (frontier["c"] == within["c"])).select(F.col("dst").alias("id"), within["c"]).distinct()
+            step = frontier.join(within, (F.col("id") == F.col("src")) & (F.col("c") == F.col("w"))).select(F.col("dst").alias("id"), "c").distinct()
             frontier = settled(step.join(mark, "id", "left_anti"))
             if frontier.isEmpty():
                 break

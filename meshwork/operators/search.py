@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,18 +29,17 @@ def postings(docs: DataFrame, key: str, text: str, stemmed: bool = True) -> tupl
     return post.groupBy("doc_id").agg(F.sum("tf").alias("len")), post.groupBy("term").agg(F.count("*").alias("df")), post
 
 
-def query_terms(query: str, stemmed: bool = True) -> Column:
-    words = text_search.tokens(F.lit(query))
-    terms = F.transform(words, text_search.stem) if stemmed else words
-    return F.array_distinct(F.filter(terms, lambda t: ~t.isin(*text_search.STOP_WORDS)))
+def query_terms(spark: SparkSession, query: str, stemmed: bool = True) -> DataFrame:
+    """(term): the distinct terms of a query."""
+    words = spark.range(1).select(F.explode(text_search.tokens(F.lit(query))).alias("word"))
+    term = text_search.stem(F.col("word")) if stemmed else F.col("word")
+    return words.select(term.alias("term")).filter(~F.col("term").isin(*text_search.STOP_WORDS)).distinct()
 
 
 def bm25(index: tuple[DataFrame, DataFrame, DataFrame], query: str, k1: float = 1.5, b: float = 0.0, stemmed: bool = True) -> DataFrame:
     """(doc_id, score). b weighs length normalisation; the query path's default leaves it out."""
     lengths, terms, post = index
-    spark = post.sparkSession
-    wanted = spark.range(1).select(F.explode(query_terms(query, stemmed)).alias("term"))
-    hit = post.join(wanted, "term")
+    hit = post.join(query_terms(post.sparkSession, query, stemmed), "term")
     stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
     n, mean = stats["n"], stats["avg"] or 1.0
     idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)

@@ -1,8 +1,9 @@
-"""Cutting the lineage of iterative jobs so that they survive lost executors."""
+"""Cutting the lineage of iterative jobs so that they survive lost executors, and scratch paths in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,11 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df computed once and written to the shared checkpoint folder."""
     shared_folder(df.sparkSession)

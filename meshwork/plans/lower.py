@@ -516,9 +516,14 @@ class Lowering:
         for x in {x for x in parts(c) if isinstance(x, n.Exists)}:
             right, cond, shared = self.exists(Scope(df, scope.vars), x.query)
             mark = f"exists_{next(_fresh)}"
-            keys = [right.vars[v].id for v in shared]
-            own = right.df.select(*keys).distinct() if keys else right.df.limit(1).select(F.lit(1).alias("_k"))
-            df = df.join(own.withColumn(mark, F.lit(True)), cond, "left")
+            # rows are told apart by the columns of all outer variables that the inner query names
+            named = {y.name for c2 in x.query.clauses if isinstance(c2, n.Match) for y in parts((c2.where, tuple(v for p in c2.patterns for e in (*p.nodes, *p.edges) for _, v in e.props))) if isinstance(y, n.Var)}
+            keys = list(dict.fromkeys(k for v, b in scope.vars.items() if v in named or v in shared for k in columns_of(b)))
+            own = df.join(right.df, cond, "left_semi").select(*(F.col(k).alias(f"{mark}_{i}") for i, k in enumerate(keys)), F.lit(True).alias(mark)).distinct()
+            on = F.lit(True)
+            for i, k in enumerate(keys):
+                on &= F.col(k).eqNullSafe(F.col(f"{mark}_{i}"))
+            df = df.join(own, on, "left").drop(*(f"{mark}_{i}" for i in range(len(keys))))
             marks[x] = mark
         vars_ = {**scope.vars, **{m: Value(m) for m in marks.values()}}
         flat = rebuild(c, lambda x: n.Call("coalesce", (n.Var(marks[x]), n.Lit(False))) if isinstance(x, n.Exists) else None)
