@@ -284,7 +284,7 @@ def round_trip(kind: str) -> Query:
         g = graph(spark, sf_dir)
         path = g.scratch("copy") + f".{kind}"
         g.cypher(f"COPY (MATCH (n:Nation) RETURN n.n_nationkey AS k, n.n_name AS name) TO '{path}' (format '{kind}')")
-        return g.cypher(f"LOAD FROM '{path}' (format '{kind}') RETURN cast(k AS INT64) AS k, name AS name")
+        return g.cypher(f"LOAD FROM '{path}' (format '{kind}', multiline FALSE) RETURN cast(k AS INT64) AS k, name AS name")
 
     return run
 

@@ -13,16 +13,21 @@ from pyspark.sql import functions as F
 from meshwork.plans.lineage import scratch
 
 
+def timed(events: DataFrame, time: str, late: str) -> DataFrame:
+    """A stream's rows under a watermark, which needs an instant; the session's time zone gives and takes it alike."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
+
+
 def tumbling(events: DataFrame, time: str, length: str, by: list[str], late: str = "1 hour") -> DataFrame:
     """(start, by, n): rows in each window of that length. A stream drops what comes later than `late`."""
-    rows = events.withWatermark(time, late) if events.isStreaming else events
-    return rows.groupBy(F.window(time, length).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *by, "n")
+    rows = timed(events, time, late)
+    return rows.groupBy(F.window(time, length).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), *by, "n")
 
 
 def sessions(events: DataFrame, time: str, gap: str, by: list[str], late: str = "1 hour") -> DataFrame:
     """(start, by, n): rows in each run of rows without a gap of that length."""
-    rows = events.withWatermark(time, late) if events.isStreaming else events
-    return rows.groupBy(F.session_window(time, gap).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *by, "n")
+    rows = timed(events, time, late)
+    return rows.groupBy(F.session_window(time, gap).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), *by, "n")
 
 
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
