@@ -561,6 +561,13 @@ class Lowering:
             df = df.select(*keep).distinct()
         if order:
             wide = Scope(df, {**({} if p.distinct else scope.vars), **out})
+            # an alias may hide a node or edge, but not its properties
+            for e in {x for k, _ in order for x in parts(k) if isinstance(x, n.Prop) and isinstance(x.of, n.Var)}:
+                old = scope.vars.get(e.of.name)
+                if not p.distinct and isinstance(old, (Node, Rel)) and isinstance(out.get(e.of.name), Value) and e.name in old.props:
+                    own = f"_hidden_{e.of.name}_{e.name}"
+                    wide = Scope(df, {**wide.vars, own: Value(old.props[e.name])})
+                    order = [(rebuild(k, lambda x, e=e, own=own: n.Var(own) if x == e else None), asc) for k, asc in order]
             keys = [self.column(wide, e) for e, _ in order]
             df = df.orderBy(*(k.asc_nulls_last() if asc else k.desc_nulls_first() for k, (_, asc) in zip(keys, order, strict=True)))
         if p.skip is not None:
