@@ -215,7 +215,7 @@ def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
 def fts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graph(spark, sf_dir)
     g.cypher("CREATE FTS INDEX names ON (Part.p_name)")
-    return g.cypher("MATCH (p:Part) USING FTS INDEX names('part 7') RETURN p.p_partkey AS k, p.p_name AS name")
+    return g.cypher("MATCH (p:Part) USING FTS INDEX names('red ring') RETURN p.p_partkey AS k, p.p_name AS name")
 
 
 def vector_search(metric: str) -> Query:
