@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates, that with the smallest id; of rows that share it, one."""
-    return minhash.keep_first(docs.select(*COLUMNS))
+    """One document of each component of near-duplicates, linked at 0.8, that with the smallest id; of rows that share it, one."""
+    return minhash.keep_first(docs.select(*COLUMNS), **minhash.AT_80)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Two collections of `tables` small hashes are computed per document, each hash built from `width` minima of its shingle
 set. Table keys are all pairs of one hash from each collection, so tables**2 keys cost only 2 * tables * width minima.
 Documents that share a key are candidates; every candidate is verified on the full shingle sets, so no link is false.
-At a similarity of 0.85 a pair shares no key with probability below 3e-4 (tables 7, width 2), at 0.9 below 3e-5.
+At a similarity of 0.85 a pair shares no key with probability below 3e-4 (tables 7, width 2), at 0.9 below 3e-5; at 0.8
+9 tables stay below 3e-4 (7 would miss 1.6e-3). op5 links at 0.85, the corpus pipeline at 0.8, as its caller says.
 
 Steps: equal sets collapse to one representative. Members of a bucket are tied to its smallest id; what hangs together
 by these ties is a group, and links stay within groups. Small groups are compared in full. A large group gets a core C,
@@ -50,6 +51,8 @@ LEVELS = 3
 IDS = 1 << 20
 #: Of the signature's minima so many must agree before sets are compared; at 0.85 fewer agree with probability 1e-6.
 AGREE = 12
+#: Tables and agreement for links at 0.8, with the same probabilities.
+AT_80 = {"least": 80, "tables": 9, "agree": 16}
 _seeds = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 2 * 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -120,12 +123,12 @@ def agreement(x: Column, y: Column) -> Column:
     return F.size(F.filter(F.arrays_zip(x.alias("x"), y.alias("y")), lambda z: z["x"] == z["y"]))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, least: int, agree: int) -> DataFrame:
     """Pairs (a, b) whose full sets are similar enough."""
     x = sets.select(F.col("id").alias("a"), F.col("s").alias("x"), F.col("minima").alias("mx"))
     y = sets.select(F.col("id").alias("b"), F.col("s").alias("y"), F.col("minima").alias("my"))
     small = pairs.join(x.select("a", "mx", F.size("x").alias("nx")), "a").join(y.select("b", "my", F.size("y").alias("ny")), "b")
-    likely = small.filter((100 * F.least("nx", "ny") >= least * F.greatest("nx", "ny")) & (agreement(F.col("mx"), F.col("my")) >= AGREE)).select("a", "b")
+    likely = small.filter((100 * F.least("nx", "ny") >= least * F.greatest("nx", "ny")) & (agreement(F.col("mx"), F.col("my")) >= agree)).select("a", "b")
     both = likely.join(x.select("a", "x"), "a").join(y.select("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.withColumn("_c", common).filter(100 * F.col("_c") >= least * (F.size("x") + F.size("y") - F.col("_c"))).select("a", "b")
@@ -148,18 +151,18 @@ def sides(stats: DataFrame, *cols: str) -> tuple[DataFrame, DataFrame]:
     return side("a", ""), side("b", "_")
 
 
-def across(rows: DataFrame, least: int) -> DataFrame:
+def across(rows: DataFrame, least: int, agree: int) -> DataFrame:
     """Pairs of a bucket's members in different components that neither core nor signature rules out."""
     x, y = sides(rows, "key", "c", "minima")
-    on = (F.col("key") == F.col("_key")) & (F.col("a") < F.col("b")) & (F.col("c") != F.col("_c")) & possible(least, "k") & (agreement(F.col("minima"), F.col("_minima")) >= AGREE)
+    on = (F.col("key") == F.col("_key")) & (F.col("a") < F.col("b")) & (F.col("c") != F.col("_c")) & possible(least, "k") & (agreement(F.col("minima"), F.col("_minima")) >= agree)
     return x.join(y, on).select("a", "b").distinct()
 
 
-def within_few(sets: DataFrame) -> DataFrame:
+def within_few(sets: DataFrame, agree: int) -> DataFrame:
     """All pairs of groups of FEW members at most that the signature doesn't rule out."""
     few = sets.filter(F.col("size") <= FEW)
     x, y = few.select("g", F.col("id").alias("a"), F.col("minima").alias("mx")), few.select(F.col("g").alias("_g"), F.col("id").alias("b"), F.col("minima").alias("my"))
-    return x.join(y, (F.col("g") == F.col("_g")) & (F.col("a") < F.col("b")) & (agreement(F.col("mx"), F.col("my")) >= AGREE)).select("a", "b")
+    return x.join(y, (F.col("g") == F.col("_g")) & (F.col("a") < F.col("b")) & (agreement(F.col("mx"), F.col("my")) >= agree)).select("a", "b")
 
 
 def core_distances(sets: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
@@ -203,7 +206,7 @@ def still_open(placed: DataFrame, least: int) -> DataFrame:
     return x.filter((F.col("r") + f <= 0) & (F.col("f") + r <= 0)).select("id", "g", "f", "h", "k")
 
 
-def near_duplicates(docs: DataFrame, least: int = LEAST, tables: int = TABLES, width: int = WIDTH) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: int = LEAST, tables: int = TABLES, width: int = WIDTH, agree: int = AGREE) -> DataFrame:
     """(_rid, doc_id, n_shingles, component_id) for docs (doc_id, text)."""
     rows = docs.select("doc_id", "text", "_rid") if "_rid" in docs.columns else with_row_id(docs.select("doc_id", "text"))
     signed = materialize(signatures(rows, tables, width), "signatures")
@@ -224,8 +227,8 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, tables: int = TABLES, w
     sure = stats.join(best, F.col("g") == F.col("_g")).filter("f + b.f <= 0 and id <> b.id").select(F.col("b.id").alias("a"), F.col("id").alias("b"))
     x, y = sides(stats)
     tied = pairs.join(x, "a").join(y, "b").filter(F.col("fa") + F.col("fb") > 0).filter(possible(least, "k")).select("a", "b")
-    near = reduce(DataFrame.unionByName, [within_few(sets), tied, sharing(rare, stats, least)]).distinct()
-    links = [materialize(sure, "sure"), materialize(verified(near, sets, least), "verified")]
+    near = reduce(DataFrame.unionByName, [within_few(sets, agree), tied, sharing(rare, stats, least)]).distinct()
+    links = [materialize(sure, "sure"), materialize(verified(near, sets, least, agree), "verified")]
 
     def labels() -> DataFrame:
         return materialize(components(reduce(DataFrame.unionByName, links)), "components")
@@ -249,13 +252,13 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, tables: int = TABLES, w
         if rest.isEmpty():
             break
         last = level == LEVELS
-        near = across(rest if last else rest.filter(f"n <= {FULL}"), least)
+        near = across(rest if last else rest.filter(f"n <= {FULL}"), least, agree)
         large = rest.filter(F.lit(False) if last else F.col("n") > FULL)
         # a similar pair agrees on one of the groups of minima, in one of all its buckets, all but certainly
         groups = [[(level + g + k * GROUPS) % (2 * tables * width) for k in range(3)] for g in range(GROUPS)]
         parts = F.array(*[F.xxhash64("key", F.lit(level), F.lit(g), *[F.col("minima")[x] for x in group]) for g, group in enumerate(groups)])
         cut = materialize(large.select("id", "minima", "f", "h", "k", F.explode(parts).alias("key")), "cut")
-        found = materialize(verified(near.unionByName(bucket_pairs(cut.select("id", "key"))).distinct(), sets, least), "verified")
+        found = materialize(verified(near.unionByName(bucket_pairs(cut.select("id", "key"))).distinct(), sets, least, agree), "verified")
         if not found.isEmpty():
             links.append(found)
             label = labels()
@@ -275,8 +278,8 @@ def query(docs: DataFrame) -> DataFrame:
     return out.join(ids, F.col("_c") == F.col("_r"), "left").select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, least: int = LEAST, tables: int = TABLES, width: int = WIDTH, agree: int = AGREE) -> DataFrame:
     """docs' rows with the smallest row id of their components. Rows that can't link all stay."""
     rows = with_row_id(docs)
-    first = near_duplicates(rows).filter("_rid = component_rid").select(F.col("_rid").alias("_first"))
+    first = near_duplicates(rows, least, tables, width, agree).filter("_rid = component_rid").select(F.col("_rid").alias("_first"))
     return rows.join(first, F.col("_rid") == F.col("_first"), "left_semi").drop("_rid")

@@ -258,3 +258,23 @@ def test_pipeline_keeps_one_of_a_group_and_drops_leaks(spark, tmp_path):
     cut = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeated_passages(spark, docs, str(tmp_path)).collect()}
     assert cut[2] == texts[2] and cut[0] == "" and cut[7] == item
     assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == 8
+
+
+def test_pipeline_links_near_copies_from_080_on(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    rows = []
+    for i in range(0, 40, 2):
+        words = [f"w{i}x{k}" for k in range(104)]
+        other = list(words)
+        for k in (10, 50) if i % 4 else (10, 50, 90):  # 90 or 85 of 110 or 115 shingles in common
+            other[k] = f"v{rng.random()}"
+        rows += [(i, " ".join(words), None, None, 0), (i + 1, " ".join(other), None, None, 0)]
+    sets = {r[0]: shingles(r[1]) for r in rows}
+    share = {i: len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 40, 2)}
+    assert all((0.8 <= s < 0.85) == (i % 4 != 0) for i, s in share.items())
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = set(range(40)) - {i + 1 for i, s in share.items() if s >= 0.8}
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == want
+    assert {r["doc_id"] for r in minhash.keep_first(docs).collect()} == set(range(40))
