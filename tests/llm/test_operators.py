@@ -278,3 +278,27 @@ def test_pipeline_links_near_copies_from_080_on(spark):
     want = set(range(40)) - {i + 1 for i, s in share.items() if s >= 0.8}
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == want
     assert {r["doc_id"] for r in minhash.keep_first(docs).collect()} == set(range(40))
+
+
+def test_minhash_with_large_mixed_buckets(spark, monkeypatch):
+    """Copies with random subsets of common variants: open members that buckets, once cut, don't bring together."""
+    monkeypatch.setattr(minhash, "FULL", 8)
+    monkeypatch.setattr(minhash, "GROUPS", 1)  # so that few rows show what cuts miss
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(204)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for k in rng.sample(range(20), rng.randrange(4, 13)):
+            words[10 * k + 5] = f"v{k}"
+        rows.append((i, " ".join(words), None, None, 0))
+    sets = [shingles(r[1]) for r in rows]
+    own = list(range(400))
+    for a in range(400):
+        for b in range(a):
+            if own[a] != own[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                low, high = sorted((own[a], own[b]))
+                own = [low if x == high else x for x in own]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA))
+    assert [r["component_rid"] for r in sorted(got.collect(), key=lambda r: r["_rid"])] == own
+    assert 20 < len(set(own)) < 380
