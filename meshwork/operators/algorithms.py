@@ -7,6 +7,7 @@ says. State is checkpointed every round, so a lost executor costs no more than t
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -171,12 +172,13 @@ def triangles(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     return all_ids(edges, vertices).join(corners, "id", "left").select(F.col("id").alias("node_id"), F.coalesce("n", F.lit(0)).cast("long").alias("triangles"))
 
 
-def distances(edges: DataFrame, sources: DataFrame, directed: bool = False, hops: int = 100) -> DataFrame:
-    """(src, dst, distance, paths): breadth-first from every source, with the number of shortest paths."""
+def distances(edges: DataFrame, sources: DataFrame, directed: bool = False, hops: int | None = None) -> DataFrame:
+    """(src, dst, distance, paths): breadth-first from every source, with the number of shortest paths; to all that is
+    within reach unless hops is given."""
     e = settled(simple(edges, directed).select(F.col("src").alias("s"), F.col("dst").alias("d")))
     seen = settled(sources.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).cast("long").alias("distance"), F.lit(1.0).alias("paths")).distinct())
     frontier = seen
-    for hop in range(1, hops + 1):
+    for hop in count(1) if hops is None else range(1, hops + 1):
         step = frontier.join(e, F.col("dst") == F.col("s")).groupBy("src", F.col("d").alias("dst")).agg(F.sum("paths").alias("paths"))
         frontier = settled(step.join(seen, ["src", "dst"], "left_anti").select("src", "dst", F.lit(hop).cast("long").alias("distance"), "paths"))
         if frontier.isEmpty():
@@ -186,7 +188,7 @@ def distances(edges: DataFrame, sources: DataFrame, directed: bool = False, hops
 
 
 def shortest_path(edges: DataFrame, source, directed: bool = False, hops: int = 100) -> DataFrame:
-    """(src, dst, distance) from one node."""
+    """(src, dst, distance) from one node, within 100 hops by default."""
     one = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).filter(F.col("id") == F.lit(source)).distinct()
     return distances(edges, one, directed, hops).select("src", "dst", "distance")
 
@@ -209,7 +211,7 @@ def reachable_counts(edges: DataFrame, vertices: DataFrame | None = None, direct
         n = c.groupBy("component_id").agg((F.count("*") - 1).alias("reachable"))
         return c.join(n, "component_id").select("node_id", "reachable")
     ids = all_ids(edges, vertices)
-    d = distances(edges, ids, True, 10**6).filter("distance > 0").groupBy(F.col("src").alias("s")).agg(F.count("*").alias("n"))
+    d = distances(edges, ids, True).filter("distance > 0").groupBy(F.col("src").alias("s")).agg(F.count("*").alias("n"))
     return ids.join(d, F.col("id") == F.col("s"), "left").select(F.col("id").alias("node_id"), F.coalesce("n", F.lit(0)).alias("reachable"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from meshwork.plans.lineage import settled
 
 #: Hops of an unbounded pattern.
 MOST_HOPS = 30
+#: Rounds of `cheapest` before nodes are counted, to tell a long path from a cycle of negative cost.
+COUNTED = 100
 #: Levels that stay one lazy plan; beyond, each level is checkpointed and the loop ends when none is new.
 LAZY = 3
 
@@ -80,12 +84,16 @@ def walks(sources: DataFrame, edges: DataFrame, low: int, high: int, mode: str =
     return out.select("src", F.col("node").alias("dst"), "length", "nodes", "rels")
 
 
-def cheapest(sources: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(src, dst, cost) for edges (src, dst, weight >= 0): relaxation of improved nodes until none improves."""
+def cheapest(sources: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, dst, cost) for edges (src, dst, weight >= 0): relaxation of improved nodes until none improves.
+
+    Raises an error on a cycle of negative cost, where nodes improve for more rounds than there are nodes.
+    """
     best = settled(sources.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("cost")).distinct())
     active = best
     e = edges.groupBy(F.col("src").alias("s"), F.col("dst").alias("d")).agg(F.min("weight").alias("w"))
-    for _ in range(rounds):
+    most = None
+    for hop in count(1):
         step = active.join(e, F.col("dst") == F.col("s")).select("src", F.col("d").alias("dst"), (F.col("cost") + F.col("w")).alias("cost"))
         both = best.withColumn("new", F.lit(False)).unionByName(step.withColumn("new", F.lit(True)))
         merged = both.groupBy("src", "dst").agg(F.min("cost").alias("cost"), F.min(F.when(~F.col("new"), F.col("cost"))).alias("old"))
@@ -94,7 +102,10 @@ def cheapest(sources: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFra
         active = merged.filter("old is null or cost < old").select("src", "dst", "cost")
         if active.isEmpty():
             return best
-    return best
+        if hop >= COUNTED:
+            most = most or e.select("s").union(e.select("d")).distinct().count()
+            if hop > most:
+                raise ValueError("edges form a cycle of negative weight")
 
 
 def packed(edges: DataFrame, direction: str = "out") -> DataFrame:

@@ -108,3 +108,21 @@ def test_windows_of_a_stream_equal_those_of_the_table(spark, tmp_path):
     spark.createDataFrame([(i, at + dt.timedelta(minutes=17 * i), i % 3, "ab"[i % 2]) for i in range(40)], "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     batch = windows.tumbling(spark.read.parquet(f"{tmp_path}/events.parquet"), "ts", "1 hour", ["event_type"])
     assert rows(windows.streamed(spark, str(tmp_path)).select("start", "event_type", "n")) == rows(batch)
+
+
+@pytest.mark.parametrize("name", ["weighted", "closeness", "betweenness"])
+def test_paths_of_over_100_edges(spark, name):
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        line = spark.createDataFrame([(i, i + 1, 1.0) for i in range(102)], "src long, dst long, weight double").coalesce(1)
+        if name == "weighted":
+            assert {r["dst"]: r["cost"] for r in algorithms.weighted_shortest_path(line, 0, directed=True).collect()} == {i: float(i) for i in range(103)}
+        elif name == "closeness":
+            got = {r["node_id"]: r["centrality"] for r in algorithms.closeness(line, directed=True).collect()}
+            assert got[0] == pytest.approx(102 / sum(range(103)))
+        else:
+            got = {r["node_id"]: r["centrality"] for r in algorithms.betweenness(line, directed=True).collect()}
+            assert got == {i: i * (102 - i) for i in range(103)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
