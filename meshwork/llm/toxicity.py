@@ -1,17 +1,18 @@
 """Toxicity as maximum-scoring segments of token log-odds, calibrated by extreme-value statistics.
 
-Tokens are words and the first STEM bytes of words. From labelled texts each token gets its log-odds between toxic and
-other texts under a Dirichlet prior proportional to the token's overall frequency; tokens whose log-odds are significant
-score by it, every other word costs a little. All maximal scoring segments of a text are found in linear time; a segment
-of score S in n words is as likely by chance as the Karlin-Altschul law says, K * n * exp(-lambda * S) of them being
-expected. The surprise over all significant segments goes through a logistic curve fitted on the labelled rows.
+Every word of a text scores its log-odds between toxic and other texts, either way, less DRIFT. The odds of a word come
+from the labelled texts that hold it under a Dirichlet prior, whose mean is the rate of its stem (the first STEM bytes),
+itself drawn towards the rate of all texts; a word that no labelled text holds has its stem's odds. All maximal scoring
+segments of a text are found in linear time; a segment of score S in n words is as likely by chance as the
+Karlin-Altschul law says, K * n * exp(-lambda * S) of them being expected, with lambda and K taken from what clean texts
+score. The surprise over all significant segments goes through a logistic curve fitted on the labelled rows.
 
-The model is fitted on at most about TRAIN_ROWS labelled rows, chosen by a hash of their ids. Nothing but the text is
-used to score.
+The model is fitted on at most about TRAIN_ROWS labelled rows, chosen by a hash of their ids and written once to the
+shared folder; it holds all words of these. Nothing but the text is used to score.
 
 Cases: null and empty texts have no segments and get the curve's lowest score; null labels and null ids aren't learned
-from; of repeated labels of an id the larger holds; without labels of both kinds no token is significant and every
-score is the share of toxic labels (0 if there are none); repeated rows score alike; an empty table gives an empty result.
+from; of repeated labels of an id the larger holds; without labels of both kinds every score is the share of toxic
+labels (0 if there are none); repeated rows score alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,20 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import remainder
+from meshwork.llm.common import materialize, remainder
 
 TRAIN_ROWS = 20_000
-#: Tokens in the model at most; the most significant stay.
-VOCABULARY = 50_000
 STEM = 4
-#: Strength of the prior, as a share of all counts.
-PRIOR = 0.2
-SIGNIFICANT = 3.0
-#: Least share of toxic texts among those with a word, or with a stem, which also stands for words never seen.
-WORD_PURITY = 0.75
-STEM_PURITY = 0.95
-#: What a word without evidence costs a segment.
-DRIFT = 0.1
+#: Texts that the priors of a word and of a stem count for.
+WORD_PRIOR = 3.0
+STEM_PRIOR = 10.0
+#: What each word costs a segment.
+DRIFT = 0.8
+#: Segments of clean texts from this score on are counted for K.
+COUNTED = 3.0
 THRESHOLD = 0.3
 _table = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -57,13 +55,13 @@ class Model:
     intercept: float = -math.inf
     slope: float = 0.0
 
-    def hits(self, words: list[bytes]) -> list[tuple[int, float]]:
-        """(place, score) of the words with evidence."""
-        own, stems = self.words, self.stems
-        return [(i, own.get(w) or stems[w[:STEM]]) for i, w in enumerate(words) if w[:STEM] in stems or w in own]
+    def scores(self, words: list[bytes]) -> list[float]:
+        """Log-odds of each word, less DRIFT."""
+        own, stems = self.words.get, self.stems.get
+        return [s if (s := own(w)) is not None else stems(w[:STEM], -DRIFT) for w in words]
 
     def segments(self, words: list[bytes]) -> list[tuple[int, int, float]]:
-        return maximal_segments(self.hits(words))
+        return maximal_segments(self.scores(words))
 
     def surprise(self, words: list[bytes]) -> tuple[float, list[tuple[int, int, float, float]]]:
         """log(1 + sum of -ln E) over significant segments (E < 1), and those as (first, end, score, ln E)."""
@@ -79,20 +77,16 @@ class Model:
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-def maximal_segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, end, score) of a sequence with score s at the given places, -drift elsewhere.
-
-    The linear-time scan of Ruzzo and Tompa; stretches between hits count at once by their length.
-    """
+def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (first, end, score) of a sequence: the linear-time scan of Ruzzo and Tompa."""
     stack: list[list] = []  # [first, end, left total, right total, index of the nearest entry below with less on its left]
-    total, at = 0.0, 0
-    for i, s in hits:
-        total -= drift * (i - at)
-        left, right = total, total + s
-        total, at = right, i + 1
+    total = 0.0
+    for i, s in enumerate(scores):
+        left = total
+        total += s
         if s <= 0:
             continue
-        entry = [i, i + 1, left, right, -1]
+        entry = [i, i + 1, left, total, -1]
         while True:
             j = len(stack) - 1
             while j >= 0 and stack[j][2] >= entry[2]:
@@ -106,20 +100,33 @@ def maximal_segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> lis
     return [(a, b, r - left) for a, b, left, r, _ in stack]
 
 
-def log_odds(toxic: np.ndarray, other: np.ndarray, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of each token between the two sides, and their z-scores, under an informative Dirichlet prior."""
-    a = prior * (toxic + other)
-    x, y, nx, ny = toxic + a, other + a, toxic.sum() + a.sum(), other.sum() + a.sum()
-    d = np.log(x / (nx - x)) - np.log(y / (ny - y))
-    return d, d / np.sqrt(1 / x + 1 / y)
+def log_odds(toxic: dict[bytes, int], other: dict[bytes, int], texts: tuple[int, int]) -> tuple[dict[bytes, float], dict[bytes, float]]:
+    """Scores of words and of stems: log-odds against those of all texts (toxic, other), less DRIFT.
 
-
-def karlin_altschul(scores: np.ndarray, share: np.ndarray, drift: float = DRIFT) -> float:
-    """The positive root of sum p exp(rate * s) = 1 for background shares p of scores and the rest at -drift."""
-    f = lambda r: float((share * np.expm1(r * scores)).sum() + (1 - share.sum()) * math.expm1(-r * drift))
+    The prior of a word is WORD_PRIOR texts at the rate of its stem, that of a stem STEM_PRIOR texts at the rate of all.
+    Keys of stems begin with `^`, which no word holds.
+    """
+    rate = texts[0] / sum(texts)
+    base = math.log(rate / (1 - rate)) + DRIFT
+    share = {}
+    for k in toxic.keys() | other.keys():
+        if k[:1] == b"^":
+            t, o = toxic.get(k, 0), other.get(k, 0)
+            share[k[1:]] = (t + STEM_PRIOR * rate) / (t + o + STEM_PRIOR)
+    words = {}
+    for k in toxic.keys() | other.keys():
+        if k[:1] != b"^":
+            p = share[k[:STEM]]
+            words[k] = math.log((toxic.get(k, 0) + WORD_PRIOR * p) / (other.get(k, 0) + WORD_PRIOR * (1 - p))) - base
+    return words, {k: math.log(p / (1 - p)) - base for k, p in share.items()}
+
+
+def karlin_altschul(scores: np.ndarray, share: np.ndarray) -> float:
+    """The positive root of sum p exp(rate * s) = 1 for background shares p of scores; their mean has to be negative."""
+    f = lambda r: float((share * np.expm1(r * scores)).sum())
     low, high = 1e-6, 1e-3
-    if f(low) >= 0:
-        return low
+    if f(low) >= 0 or scores.max(initial=-1.0) <= 0:
+        return low if f(low) >= 0 else 64.0
     while f(high) < 0 and high < 64:
         high *= 2
     for _ in range(80):
@@ -153,66 +160,61 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
-    sample = training_rows(docs, labels, most)
+    sample = materialize(training_rows(docs, labels, most), "toxicity-sample")
+    spark = docs.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
-        size = [0, 0]
         for b in batches:
             for text, toxic in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                words = words_of(text.as_py())
-                own = set(words)
+                own = set(words_of(text.as_py()))
                 seen[toxic > 0].update(own)
-                seen[toxic > 0].update({b"^" + w[:STEM] for w in own if len(w) >= STEM})
-                seen[toxic > 0][b" docs"] += 1
-                seen[toxic > 0][b" words"] += len(words)
+                seen[toxic > 0].update({b"^" + w[:STEM] for w in own})
+                seen[toxic > 0][b" texts"] += 1
         keys = list(seen[0].keys() | seen[1].keys())
         for at in range(0, len(keys), 1 << 16):
             part = keys[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([seen[1][k] for k in part], pa.int64()), pa.array([seen[0][k] for k in part], pa.int64())], ["token", "toxic", "other"])
 
-    counts = sample.mapInArrow(count, "token binary, toxic long, other long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    # a token that toxic texts hold less than three times can't be significant; sums stand for all the others
-    counts = counts.withColumn("key", F.when((F.col("toxic") >= 3) | F.substring("token", 1, 1).eqNullSafe(F.lit(b" ")), F.col("token")))
-    rows = counts.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).orderBy(F.col("toxic").desc(), "key").limit(20 * VOCABULARY).collect()
-    totals = {bytes(r["key"]): (r["toxic"], r["other"]) for r in rows if r["key"] is not None and bytes(r["key"])[:1] == b" "}
-    (dt, do), (_, wo) = totals.get(b" docs", (0, 0)), totals.get(b" words", (0, 0))
-    if not dt or not do:
-        return Model(intercept=-math.inf if not dt else math.inf)
-    rows = [(bytes(r["key"]) if r["key"] is not None else b"", r["toxic"], r["other"]) for r in rows if r["key"] is None or bytes(r["key"])[:1] != b" "]
-    toxic, other = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float)
-    d, z = log_odds(toxic, other)
-    pure = toxic / np.maximum(1, toxic + other)
-    least = np.array([STEM_PURITY if r[0][:1] == b"^" else WORD_PURITY for r in rows])
-    best = [i for i in np.argsort(-z, kind="stable")[:VOCABULARY] if z[i] > SIGNIFICANT and pure[i] >= least[i] and rows[i][0]]
-    model = Model({rows[i][0]: float(d[i]) for i in best if rows[i][0][:1] != b"^"}, {rows[i][0][1:]: float(d[i]) for i in best if rows[i][0][:1] == b"^"})
-    scores = np.array([d[i] for i in best])
-    share = np.array([(other[i] + 0.5) / (wo + 1) for i in best])
-    if len(best):
-        share *= min(1.0, 0.5 / share.sum())
-        model.rate = karlin_altschul(scores, share)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # bounded by TRAIN_ROWS: the words of that many texts
+    counts = sample.mapInArrow(count, "token binary, toxic long, other long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toArrow()
+    keys = counts.column("token").to_pylist()
+    toxic, other = dict(zip(keys, counts.column("toxic").to_pylist(), strict=True)), dict(zip(keys, counts.column("other").to_pylist(), strict=True))
+    texts = toxic.pop(b" texts", 0), other.pop(b" texts", 0)
+    if not all(texts):
+        return Model(intercept=-math.inf if not texts[0] else math.inf)
+    model = Model(*log_odds(toxic, other, texts))
+    held = spark.sparkContext.broadcast(model)
+
+    def background(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(kind, hundredths, n): how often words (0) and maximal segments (1) score so much."""
+        seen: Counter = Counter()
+        m = held.value
         for b in batches:
-            x, n, top = [], [], []
             for text in b.column(0):
-                w = words_of(text.as_py())
-                s = model.segments(w)
-                n.append(len(w))
-                top.append(sum(1 for q in s if q[2] >= 1))
-                x.append(None)
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(top, pa.int64()), b.column(1)], ["n", "segments", "toxic"])
-
-    clean = sample.filter("toxic = 0").mapInArrow(score, "n long, segments long, toxic long").agg(F.sum("n").alias("n"), F.sum("segments").alias("s")).first()
-    # expected number of clean segments that score 1 or more: K * n * exp(-rate)
-    model.scale = ((clean["s"] or 0) + 0.5) * math.exp(model.rate) / max(1, clean["n"] or 0)
+                v = m.scores(words_of(text.as_py()))
+                seen.update((0, round(100 * x)) for x in v)
+                seen.update((1, round(100 * q[2])) for q in maximal_segments(v))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([k[0] for k in seen], [k[1] for k in seen], list(seen.values()))], ["kind", "s", "n"])
+
+    rows = sorted(tuple(r) for r in sample.filter("toxic = 0").mapInArrow(background, "kind long, s long, n long").groupBy("kind", "s").agg(F.sum("n").alias("n")).collect())
+    value, n = np.array([r[1] / 100 for r in rows if not r[0]]), np.array([r[2] for r in rows if not r[0]], float)
+    high = sum(r[2] for r in rows if r[0] and r[1] / 100 >= COUNTED)
+    if len(n):
+        model.rate = karlin_altschul(value, n / n.sum())
+    # expected number of clean segments that score COUNTED or more: K * n * exp(-rate * COUNTED)
+    model.scale = (high + 0.5) * math.exp(model.rate * COUNTED) / max(1, n.sum())
+    held.unpersist()
+    held = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([model.surprise(words_of(t.as_py()))[0] for t in b.column(0)], pa.float64()), b.column(1)], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([m.surprise(words_of(t.as_py()))[0] for t in b.column(0)], pa.float64()), b.column(1)], ["x", "y"])
 
     # bounded by TRAIN_ROWS: a pair of numbers for each training row, equal ones together
     pairs = sample.mapInArrow(measure, "x double, y long").groupBy(F.round("x", 2).alias("x"), (F.col("y") > 0).cast("double").alias("y")).count().collect()
+    held.unpersist()
     x = np.repeat([p["x"] for p in pairs], [p["count"] for p in pairs])
     y = np.repeat([p["y"] for p in pairs], [p["count"] for p in pairs])
     order = np.lexsort((y, x))
