@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a vectorised pass looks at together; longer documents go in pieces.
 PIECE = 1 << 20
+#: Jobs of fewer seconds leave their shuffle files to the next longer one.
+BRIEF = 1.0
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -68,9 +70,11 @@ def collect_garbage(spark: SparkSession) -> None:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage and survives lost executors."""
     spark, path, schema = df.sparkSession, scratch_path(df.sparkSession, name), df.schema
+    begun = time.perf_counter()
     df.write.parquet(path)
     del df
-    collect_garbage(spark)
+    if time.perf_counter() - begun > BRIEF:
+        collect_garbage(spark)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -86,16 +90,16 @@ def remainder(doc_id: Column, n: int) -> Column:
 def with_row_id(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds _rid, a long that is unique and ordered as (doc_id, text), nulls first.
 
-    Unique non-null ids serve as they are. Where ids repeat or are null, rows are sorted and numbered, so equal rows
-    count as separate documents in an arbitrary but consistent order.
+    Unique non-null ids serve as they are. Where ids repeat or are null, rows are range-partitioned by (doc_id, text) and
+    numbered by partition and place, in the JVM, so equal rows count as separate documents in an arbitrary order, which
+    the written result fixes. Their places in the input break ties, so rows that are alike spread over partitions.
     """
     bad = df.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
     if bad.isEmpty():
         return df.withColumn("_rid", F.col("doc_id").cast("long"))
-    ordered = df.orderBy(F.col("doc_id").asc_nulls_first(), F.col(text).asc_nulls_first())
-    schema = df.schema.add("_rid", "long")
-    numbered = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return materialize(df.sparkSession.createDataFrame(numbered, schema), "rows")
+    placed = df.withColumn("_at", F.monotonically_increasing_id())
+    ordered = placed.orderBy(F.col("doc_id").asc_nulls_first(), F.col(text).asc_nulls_first(), "_at").drop("_at")
+    return materialize(ordered.withColumn("_rid", F.monotonically_increasing_id()), "rows")
 
 
 # ---- vectorised hashing ------------------------------------------------------------------------------------------
@@ -103,6 +107,7 @@ def with_row_id(df: DataFrame, text: str = "text") -> DataFrame:
 _MUL = np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTES = _rng.integers(0, 2**64, 256, dtype=np.uint64)
+_CHECK = np.random.Generator(np.random.PCG64(20240608)).integers(0, 2**64, 256, dtype=np.uint64)
 _is_space = np.zeros(256, bool)
 _is_space[[32, 9, 10, 11, 12, 13]] = True
 _lower = np.arange(256, dtype=np.uint8)
@@ -184,6 +189,11 @@ def byte_values(buf: np.ndarray) -> np.ndarray:
     return _BYTES[buf]
 
 
+def check_values(values: np.ndarray) -> np.ndarray:
+    """Other values for the same sequence, so that hashes of both together have 128 bits."""
+    return _CHECK[values] if values.dtype == np.uint8 else mix(values ^ _CHECK[0])
+
+
 def ascii_lower(buf: np.ndarray) -> np.ndarray:
     return _lower[buf]
 
@@ -209,15 +219,16 @@ def text_pieces(column: pa.Array, limit: int = 2 * PIECE) -> Iterator[tuple[int,
         at = upto
 
 
-def window_segments(values: np.ndarray, bounds: np.ndarray, length: int, k: int) -> dict[str, np.ndarray]:
+def window_segments(values: np.ndarray, bounds: np.ndarray, length: int, k: int, other: np.ndarray) -> dict[str, np.ndarray]:
     """Winnows windows of `length` values: consecutive windows of a document that share their minimizer form a segment.
 
     values are the documents' values in a row, bounds their offsets. A window's minimizer is the leftmost of its
     k-grams with the smallest hash (by the upper 40 bits), so it depends on the window's content alone: equal windows
     have the same minimizer at the same place. Gives for each segment its document, first window (from the document's
-    start), number of windows, minimizer hash, and a hash of all it covers together with the minimizer's place.
+    start), number of windows, minimizer hash, and two hashes of all it covers, from `values` and from `other`, the first
+    together with the minimizer's place.
     """
-    empty = {x: np.zeros(0, np.int64) for x in ("doc", "first", "count", "anchor", "hash", "place")}
+    empty = {x: np.zeros(0, np.int64) for x in ("doc", "first", "count", "anchor", "hash", "check")}
     n, w = len(values), length - k + 1
     if n < length:
         return empty
@@ -247,7 +258,7 @@ def window_segments(values: np.ndarray, bounds: np.ndarray, length: int, k: int)
     anchor = grams[at[first]]
     place = at[first] - first
     whole = prefix.spans(first, last + length)
-    return {"doc": doc[first], "first": first - bounds[doc[first]], "count": last - first + 1, "anchor": anchor.view(np.int64), "hash": mix(whole ^ (place.astype(np.uint64) * _MUL)).view(np.int64), "place": place}
+    return {"doc": doc[first], "first": first - bounds[doc[first]], "count": last - first + 1, "anchor": anchor.view(np.int64), "hash": mix(whole ^ (place.astype(np.uint64) * _MUL)).view(np.int64), "check": Prefix(other).spans(first, last + length).view(np.int64)}
 
 
 def split_long(bounds: np.ndarray, length: int, most: int) -> list[tuple[int, int]]:

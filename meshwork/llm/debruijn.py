@@ -1,13 +1,16 @@
 """Substring dedup by De Bruijn compaction: removes every word in a run of WINDOW words that also stands elsewhere.
 
-Token k-mers (the words that a segment of windows covers, see meshwork.llm.winnow) are edges from what they overlap with before
-to what they overlap with behind. Repeated edges whose successor is the only one, and in turn follows nothing else, lie on a
-nonbranching path; pointer jumping over Spark joins gives every edge its path's head and its distance from it in a
-number of rounds logarithmic in the path's length. A document's traversals of paths are then few long spans, whose
-source coordinates have to be contiguous. Where unequal edges share an anchor, single windows are compared.
+Token k-mers are edges from what they overlap with before to what they overlap with behind: the words that a segment of
+windows covers (see meshwork.llm.winnow) where whole segments repeat, single windows where only parts of them do.
+Repeated edges whose successor is the only one, and in turn follows nothing else, lie on a nonbranching path; pointer
+jumping over Spark joins gives every edge its path's head and its distance from it in a number of rounds logarithmic in
+the path's length. All traversals of a path go over the whole of it, so each is one long span of a document. The words
+at its source coordinates are read again: only traversals whose words equal those of another one of the path, by a
+128-bit digest, are removed.
 
 Cases: null and empty texts have no words; texts shorter than WINDOW are kept whole; repetition within one document
-counts; all copies go, so repeated rows of at least WINDOW words lose all words; an empty table gives an empty result.
+counts; all copies go, so repeated rows of at least WINDOW words lose all words; an empty table gives an empty result;
+further columns named in `keep` pass through, whatever they are called but for the names of the results.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import Prefix, materialize, merge_spans, with_row_id, word_hashes
+from meshwork.llm.common import Prefix, check_values, materialize, merge_spans, with_row_id, word_hashes
 from meshwork.llm.winnow import compared, segments, spans_by_row
 
 WINDOW = 35
@@ -30,18 +33,18 @@ GRAM = 10
 _word = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def _values(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _values(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     begin, _, words = word_hashes(buf, offsets[:-1])
-    return words, np.searchsorted(begin, offsets)
+    return words, check_values(words), np.searchsorted(begin, offsets)
 
 
 def compact(edges: DataFrame, window: int) -> DataFrame:
-    """Traversals (rid, head, first, end) of nonbranching paths by edges (rid, first, count, hash).
+    """Traversals (rid, head, first, end) of nonbranching paths by edges (rid, kind, first, count, hash).
 
     An edge is linked to the next one only if all occurrences of either are occurrences of both in a row.
     """
-    e = edges.select("rid", "first", "count", F.col("hash").alias("edge"))
-    follow = W.partitionBy("rid").orderBy("first")
+    e = edges.select("rid", "kind", "first", "count", F.col("hash").alias("edge"))
+    follow = W.partitionBy("rid", "kind").orderBy("first")
     e2 = e.withColumn("_n", F.lead(F.struct("first", "edge")).over(follow))
     e2 = e2.withColumn("next", F.when(F.col("_n.first") == F.col("first") + F.col("count"), F.col("_n.edge")))
     nodes = e2.groupBy("edge").agg(F.count("*").alias("n"), F.count("next").alias("nn"), F.min("next").alias("lo"), F.max("next").alias("hi"), F.max("count").alias("count"))
@@ -96,15 +99,44 @@ def window_rows(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     return joined.mapInArrow(run, "rid long, first int, hash long, copies boolean")
 
 
+def verified(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """Of traversals (rid, head, first, end) those (rid, first, end) whose words another traversal of the path has too."""
+    lists = spans.groupBy("rid").agg(F.collect_list(F.struct("head", "first", "end")).alias("w"))
+    joined = rows.join(lists, F.col("_rid") == F.col("rid")).select("rid", F.col("text").cast("string").alias("text"), "w")
+    arrow = pa.schema([("rid", pa.int64()), ("head", pa.int64()), ("first", pa.int32()), ("end", pa.int32()), ("digest", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                out: list[tuple] = []
+                part = b.slice(at, 1024)
+                for rid, text, w in zip(part.column("rid").to_pylist(), part.column("text"), part.column("w"), strict=True):
+                    words = _word.findall(text.as_buffer())
+                    v = w.values
+                    for head, first, end in zip(*(v.field(i).to_pylist() for i in range(3)), strict=True):
+                        out.append((rid, head, first, end, hashlib.blake2b(b" ".join(words[first:end]), digest_size=16).digest()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
+
+    read = materialize(joined.mapInArrow(run, "rid long, head long, first int, end int, digest binary"), "read")
+    # as a rule all traversals of a path agree; only the others are counted by digest
+    odd = read.groupBy("head").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count("*").alias("n")).filter("lo <> hi or n = 1").select(F.col("head").alias("_odd"))
+    odd = materialize(odd, "odd")
+    sure = read.join(odd, F.col("head") == F.col("_odd"), "left_anti")
+    rest = read.join(odd, F.col("head") == F.col("_odd"), "left_semi")
+    twice = rest.groupBy(F.col("head").alias("_h"), F.col("digest").alias("_d")).agg(F.count("*").alias("n")).filter("n > 1")
+    return sure.select("rid", "first", "end").unionByName(rest.join(twice, (F.col("head") == F.col("_h")) & (F.col("digest") == F.col("_d")), "left_semi").select("rid", "first", "end"))
+
+
 def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(rid, first, end) in words of what is repeated in rows (_rid, text); spans may overlap."""
+    rows = rows.select("_rid", "text")
     segs = compared(segments(rows, _values, window, gram), "segments")
-    whole = compact(segs.filter("copies"), window).select("rid", "first", "end")
-    # one of each kind of segment stands for its copies; those with copies are settled and only bear witness
+    # one of each kind of segment stands for its copies
     single = materialize(window_rows(rows, segs.filter("mixed and not again"), window), "windows")
     seen = single.groupBy(F.col("hash").alias("_h")).agg(F.count("*").alias("n"), F.max("copies").alias("c")).filter("n > 1 or c").select("_h")
-    found = single.join(seen, F.col("hash") == F.col("_h"), "left_semi").select("rid", "first", (F.col("first") + window).alias("end"))
-    return whole.unionByName(found)
+    found = single.join(seen, F.col("hash") == F.col("_h"), "left_semi").select("rid", F.lit(1).alias("kind"), "first", F.lit(1).alias("count"), F.xxhash64("hash").alias("hash"))
+    edges = segs.filter("copies").select("rid", F.lit(0).alias("kind"), "first", "count", "hash").unionByName(found)
+    return verified(rows, compact(edges, window))
 
 
 def cut(raw: bytes, spans: pa.Scalar) -> tuple[int, int, bytes]:
@@ -123,14 +155,14 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: tuple[s
     """docs' columns in keep with n_words, n_removed, kept_sha256 and, if texts, kept_text, the kept words joined by spaces."""
     rows = with_row_id(docs.select(*dict.fromkeys([*keep, "doc_id", "text"])))
     spans = spans_by_row(repeated_spans(rows, window, gram))
-    joined = rows.join(spans, F.col("_rid") == F.col("rid"), "left").select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("_raw"), "spans")
+    joined = rows.join(spans.withColumnsRenamed({"rid": "_doc", "spans": "_spans"}), F.col("_rid") == F.col("_doc"), "left").select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("_raw"), "_spans")
     adds = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part, out = b.slice(at, 1024), []
-                for raw, s in zip(part.column("_raw"), part.column("spans"), strict=True):
+                for raw, s in zip(part.column("_raw"), part.column("_spans"), strict=True):
                     n, removed, kept = cut(raw.as_py(), s)
                     out.append((n, removed, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if texts else None)[: len(adds)])
                 cols = [pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), adds, strict=True)]

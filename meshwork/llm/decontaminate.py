@@ -4,13 +4,16 @@ Texts and items are normalised (ASCII lower case; everything but ASCII letters,
 single space). Items are cut into pieces of PIECE bytes every STRIDE bytes; shorter ones are a piece of their own. A
 piece of m bytes occurs if some stretch of the text is within e = m * ERRORS // 100 edits of it. By the q-gram lemma such
 a stretch shares at least m - q + 1 - q * e q-grams with the piece on diagonals at most e apart, so they fall wholly
-into one of overlapping bands two strides wide. Bands with that many go to the alignment.
+into one of overlapping bands two strides wide. Bands with that many go to the alignment. An item of fewer than SHORT
+bytes is too short for edits: it occurs where its words stand in the text one after another (Aho-Corasick, exactly).
 
 The benchmark is the stated query set: it is broadcast in blocks of at most BLOCK bytes of items, each block against all
-documents, so what is broadcast is bounded whatever the benchmark's size.
+documents, so what is broadcast is bounded whatever the benchmark's size. Where there are several blocks, each one's
+finds are written to the shared folder and its broadcast is freed before the next one is built.
 
-Cases: null and empty texts hold nothing; items of fewer than LEAST normalised bytes are too short to tell and are never
-found; repeated rows and items are reported each; null ids come through as null; empty tables give an empty result.
+Cases: null and empty texts hold nothing; items without a word are never found; repeated rows and items are reported
+each; null ids come through as null; empty tables give an empty result; further columns are ignored, but for those in
+`keep`, which go before the finds.
 """
 
 from __future__ import annotations
@@ -20,21 +23,23 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import Prefix, byte_values, text_pieces
+from meshwork.llm.common import Prefix, byte_values, materialize, text_pieces
 
 Q = 10
 PIECE = 100
 STRIDE = 50
 #: Edits in a hundred bytes.
 ERRORS = 5
-LEAST = 24
+#: Items of fewer normalised bytes have to occur exactly, in whole words.
+SHORT = 24
 BLOCK = 4 << 20
 #: Bands are two of these wide; larger than any budget of edits.
 BAND = 8
-SCHEMA = "doc_id long, item_id long, pieces_found int, pieces int, edits int, first long, end long"
+FINDS = "item_id long, pieces_found int, pieces int, edits int, first long, end long"
 _table = np.frombuffer(bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256)), np.uint8)
 
 
@@ -53,7 +58,7 @@ def normalise(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def pieces_of(item: bytes) -> list[tuple[int, bytes]]:
     """(place, piece) of a normalised item."""
     n = len(item)
-    if n < LEAST:
+    if n < SHORT:
         return []
     if n <= PIECE + STRIDE // 2:
         return [(0, item)]
@@ -97,8 +102,11 @@ class Index:
     def __init__(self, items: list[tuple[int | None, bytes]]):
         self.item, self.pieces, self.place, self.total = [], [], [], []
         hashes, owner, at = [], [], []
+        self.short: dict[bytes, list[tuple[int, int | None]]] = {}
         for k, (item_id, text) in enumerate(items):
             own = pieces_of(text)
+            if text and not own:
+                self.short.setdefault(text, []).append((k, item_id))
             for place, piece in own:
                 h = Prefix(byte_values(np.frombuffer(piece, np.uint8))).windows(Q)
                 hashes.append(h)
@@ -120,6 +128,24 @@ class Index:
         size = np.array([len(p) for p in self.pieces], np.int64)
         self.need = np.maximum(1, size - Q + 1 - Q * (size * ERRORS // 100))
 
+    def exact(self, text: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int | None, int, int]]:
+        """(document, item, its id, start, end) of short items, each at its first place in a document."""
+        if not self.short:
+            return
+        import ahocorasick
+
+        words = ahocorasick.Automaton()
+        for item in self.short:
+            words.add_word(f" {item.decode('latin-1')} ", item)
+        words.make_automaton()
+        for doc, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            seen = set()
+            for end, item in words.iter(f" {text[a:b].tobytes().decode('latin-1')} "):
+                if item not in seen:
+                    seen.add(item)
+                    # the automaton's text has one space more in front
+                    yield from ((doc, k, item_id, end - 1 - len(item), end - 1) for k, item_id in self.short[item])
+
     def candidates(self, text: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(document, piece, diagonal) of bands with enough shared q-grams."""
         grams = Prefix(byte_values(text)).windows(Q)
@@ -158,21 +184,22 @@ class Index:
             yield int(key[0, i]), int(key[1, i]), int(key[2, i] * BAND + BAND)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
-    """A row for each document and item of which at least one piece occurs: the pieces found, fewest edits of one, and
-    the stretch of the normalised text from the first to the last of them."""
+def find(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """A row for each document and item of which at least one piece occurs: docs' columns in keep, the item, the pieces
+    found, fewest edits of one, and the stretch of the normalised text from the first to the last of them."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    arrow = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("pieces_found", pa.int32()), ("pieces", pa.int32()), ("edits", pa.int32()), ("first", pa.int64()), ("end", pa.int64())])
+    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    arrow = pa.schema([("item_id", pa.int64()), ("pieces_found", pa.int32()), ("pieces", pa.int32()), ("edits", pa.int32()), ("first", pa.int64()), ("end", pa.int64())])
+    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep] + [FINDS])
 
-    def against(items: list[tuple[int | None, bytes]]) -> DataFrame:
+    def against(items: list[tuple[int | None, bytes]]) -> tuple[Broadcast, DataFrame]:
         held = spark.sparkContext.broadcast(Index(items))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = held.value
             for b in batches:
-                ids, out = b.column("doc_id").to_pylist(), []
-                for a, _, buf, offsets in text_pieces(b.column("text")):
+                at, out = [], []
+                for a, _, buf, offsets in text_pieces(b.column("_text")):
                     text, bounds = normalise(buf, offsets)
                     found: dict[tuple[int, int], dict[int, tuple[int, int, int]]] = {}
                     texts: dict[int, bytes] = {}
@@ -186,25 +213,33 @@ def find(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame
                             own[piece] = min(own.get(piece, (len(p), 0, 0)), (got[0], max(0, got[1] - len(p)), got[1]))
                     for (doc, _), own in found.items():
                         piece = next(iter(own))
-                        out.append((ids[a + doc], index.item[piece][1], len(own), index.total[piece], min(x[0] for x in own.values()), min(x[1] for x in own.values()), max(x[2] for x in own.values())))
+                        at.append(a + doc)
+                        out.append((index.item[piece][1], len(own), index.total[piece], min(x[0] for x in own.values()), min(x[1] for x in own.values()), max(x[2] for x in own.values())))
+                    for doc, _, item_id, first, end in index.exact(text, bounds):
+                        at.append(a + doc)
+                        out.append((item_id, 1, 1, 0, first, end))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
+                    kept = b.select(list(keep)).take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True))], [*keep, *arrow.names])
 
-        return rows.mapInArrow(run, SCHEMA)
+        return held, rows.mapInArrow(run, schema)
 
-    parts, items, size = [], [], 0
+    parts: list[DataFrame] = []
+    items: list[tuple[int | None, bytes]] = []
+    size = 0
     for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
         raw = np.frombuffer((r["text"] or "").encode("utf-8", "surrogatepass"), np.uint8)
         item = normalise(raw, np.array([0, len(raw)]))[0].tobytes().strip()
+        if size and size + len(item) > block:
+            held, found = against(items)
+            parts.append(materialize(found, "leaks"))
+            held.unpersist()
+            items, size = [], 0
         items.append((r["item_id"], item))
         size += len(item)
-        if size >= block:
-            parts.append(against(items))
-            items, size = [], 0
-    if items or not parts:
-        parts.append(against(items))
+    parts.append(against(items)[1])
     return reduce(DataFrame.unionByName, parts)
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return find(docs, benchmark)
+    return find(docs.withColumn("doc_id", F.col("doc_id").cast("long")), benchmark)

@@ -1,7 +1,7 @@
 """Suffix-array dedup: removes every byte that a string of `LENGTH` bytes covers which also starts earlier.
 
 Winnowing finds the segments that can hold repeats (meshwork.llm.winnow). A segment that repeats an earlier one goes as
-a whole. Distinct segments with a common anchor are put together in blocks; each block's suffixes are sorted in two
+a whole; which do is told by 128 bits of two hashes. Distinct segments with a common anchor are put together in blocks; each block's suffixes are sorted in two
 stages and adjacent common prefixes of LENGTH bytes give the classes of equal strings, of which the earliest stays. A
 group too large for a block is cut, and the classes of its blocks are compared once more by Spark.
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import Prefix, byte_values, materialize, merge_spans, with_row_id
+from meshwork.llm.common import Prefix, byte_values, check_values, materialize, merge_spans, with_row_id
 from meshwork.llm.suffixes import common_prefixes, suffix_array, words_at
 from meshwork.llm.winnow import compared, segments, spans_by_row
 
@@ -30,8 +30,8 @@ GRAM = 32
 BLOCK = 1 << 20
 
 
-def _values(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return byte_values(buf), offsets
+def _values(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return byte_values(buf), check_values(buf), offsets
 
 
 def segment_texts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -78,8 +78,8 @@ def block_repeats(rid: np.ndarray, first: np.ndarray, count: np.ndarray, parts:
     gone = at[again]
     rest = at[~again]
     rest = rest[open_[seg[rest]]]
-    hashes = Prefix(byte_values(text)).windows(length)[rest].view(np.int64) if len(rest) else np.zeros(0, np.int64)
-    return seg[gone], offset[gone], {"rid": rid[seg[rest]], "at": first[seg[rest]] + offset[rest], "hash": hashes}
+    names = [Prefix(v(text)).windows(length)[rest].view(np.int64) if len(rest) else np.zeros(0, np.int64) for v in (byte_values, check_values)]
+    return seg[gone], offset[gone], {"rid": rid[seg[rest]], "at": first[seg[rest]] + offset[rest], "hash": names[0], "check": names[1]}
 
 
 def runs(rid: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,15 +94,15 @@ def runs(rid: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.n
 
 
 def compare_windows(texts: DataFrame, length: int, block: int) -> DataFrame:
-    """Spans to remove among segments with common anchors: (rid, first, end, hash); hash not null: still open."""
-    arrow = pa.schema([("rid", pa.int64()), ("first", pa.int32()), ("end", pa.int32()), ("hash", pa.int64())])
+    """Spans to remove among segments with common anchors: (rid, first, end, hash, check); hash not null: still open."""
+    arrow = pa.schema([("rid", pa.int64()), ("first", pa.int32()), ("end", pa.int32()), ("hash", pa.int64()), ("check", pa.int64())])
 
     def finish(rows: list[tuple]) -> pa.RecordBatch:
         rid, first, count = (np.array([r[i] for r in rows], np.int64) for i in range(3))
         seg, offset, rest = block_repeats(rid, first, count, [r[3] for r in rows], np.array([r[4] for r in rows], bool), length)
         r, a, b = runs(rid[seg], first[seg] + offset, length)
         n = len(rest["rid"])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([r, rest["rid"]])), pa.array(np.concatenate([a, rest["at"]]), pa.int32()), pa.array(np.concatenate([b, rest["at"] + length]), pa.int32()), pa.concat_arrays([pa.nulls(len(r), pa.int64()), pa.array(rest["hash"] if n else [], pa.int64())])], schema=arrow)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([r, rest["rid"]])), pa.array(np.concatenate([a, rest["at"]]), pa.int32()), pa.array(np.concatenate([b, rest["at"] + length]), pa.int32()), *(pa.concat_arrays([pa.nulls(len(r), pa.int64()), pa.array(rest[x] if n else [], pa.int64())]) for x in ("hash", "check"))], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # segments of the block; those of the last group may have more to come
@@ -129,7 +129,7 @@ def compare_windows(texts: DataFrame, length: int, block: int) -> DataFrame:
         if held:
             yield finish(held)
 
-    return texts.repartition("anchor").sortWithinPartitions("anchor", "rid", "first").mapInArrow(run, "rid long, first int, end int, hash long")
+    return texts.repartition("anchor").sortWithinPartitions("anchor", "rid", "first").mapInArrow(run, "rid long, first int, end int, hash long, check long")
 
 
 def removed_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
@@ -140,7 +140,7 @@ def removed_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, block
     found = materialize(compare_windows(texts, length, block), "windows")
     settled = found.filter("hash is null").select("rid", "first", "end")
     open_ = found.filter("hash is not null")
-    again = open_.withColumn("_n", F.lag("rid").over(W.partitionBy("hash").orderBy("rid", "first"))).filter("_n is not null").select("rid", "first", "end")
+    again = open_.withColumn("_n", F.lag("rid").over(W.partitionBy("hash", "check").orderBy("rid", "first"))).filter("_n is not null").select("rid", "first", "end")
     return whole.unionByName(settled).unionByName(again)
 
 

@@ -6,7 +6,7 @@ what remains. Running sums are two-level: a source is cut into ranges of its key
 are accumulated, and only rows of one range meet in a window, so a source with a third of all rows is no hot task.
 
 Cases: null or empty texts have size 0 and take 0; a null source is a source of its own, last in order; equal ids
-share their key and are ordered by their text's hash; an empty table gives an empty result; with no words at all every
+share their key and are ordered by their text's hash, equal rows in any order; an empty table gives an empty result; with no words at all every
 target is 0.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import WORD, materialize
+from meshwork.llm.common import WORD, materialize, with_row_id
 
 #: Weights by the source's place in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -66,10 +66,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: int = S
 
 
 def mix(docs: DataFrame, text: str = "text", quality: Column | None = None, **how) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) of every row of docs, with _tie, the text's hash."""
+    """(doc_id, source, size, source_size, target, taken) of every row of docs, with _rid if docs have it."""
     weight = quality_weight(F.col(text)) if quality is None else quality
     key = -F.log(uniform(F.col("doc_id"))) / weight
-    rows = materialize(docs.select("doc_id", "source", size_of(F.col(text)).alias("size"), key.alias("_key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_tie")), "mix")
+    rid = [c for c in ("_rid",) if c in docs.columns]
+    rows = materialize(docs.select("doc_id", "source", *rid, size_of(F.col(text)).alias("size"), key.alias("_key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_tie")), "mix")
     n = rows.count()
     ranges = max(1, math.isqrt(n))
     goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), **how)
@@ -80,12 +81,12 @@ def mix(docs: DataFrame, text: str = "text", quality: Column | None = None, **ho
     goals = goals.withColumnRenamed("source", "_s")
     parts = parts.join(goals, parts["source"].eqNullSafe(goals["_s"])).drop("_s").withColumnsRenamed({"source": "_s", "_range": "_r"})
     rows = rows.join(parts, rows["source"].eqNullSafe(parts["_s"]) & (rows["_range"] == parts["_r"])).drop("_s", "_r")
-    run = F.col("_before") + F.sum("size").over(W.partitionBy("source", "_range").orderBy("_key", "doc_id", "_tie").rowsBetween(W.unboundedPreceding, 0))
+    run = F.col("_before") + F.sum("size").over(W.partitionBy("source", "_range").orderBy("_key", "doc_id", "_tie", *rid).rowsBetween(W.unboundedPreceding, 0))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.col("target") - epochs * F.col("source_size")
     # the document at the edge is taken if more than half of it fits
     more = F.when(run - F.col("size") / 2 <= rest, F.col("size")).otherwise(F.lit(0))
-    return rows.withColumn("taken", (epochs * F.col("size") + F.when(rest > 0, more).otherwise(F.lit(0))).cast("long")).drop("_before", "_range", "_key")
+    return rows.withColumn("taken", (epochs * F.col("size") + F.when(rest > 0, more).otherwise(F.lit(0))).cast("long")).drop("_before", "_range", "_key", "_tie")
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -93,10 +94,11 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes, with their columns and the words taken."""
-    taken = mix(docs).filter("taken > 0").select(F.col("doc_id").alias("_d"), "_tie", "size", "target", "taken").dropDuplicates(["_d", "_tie"])
-    tie = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.withColumn("_t", tie).join(taken, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_tie"))).drop("_d", "_tie", "_t")
+    """The documents that the mix takes, with their columns, size, target and the words taken, told apart by row."""
+    rows = with_row_id(docs)
+    taken = mix(rows).filter("taken > 0").select(F.col("_rid").alias("_taken"), "size", "target", "taken")
+    clash = [c for c in ("size", "target", "taken") if c in docs.columns]
+    return rows.drop(*clash).join(taken, F.col("_rid") == F.col("_taken")).drop("_rid", "_taken")
 
 
 SQL_OVER = r"""

@@ -4,7 +4,7 @@ Every window of `length` values is assigned to its minimizer (see common.window_
 anchors at equal places. A segment, a run of windows with one minimizer, is one row. Where two segments are equal, all
 their windows are; where only their anchors are, single windows have to be compared, and only there. Equal segments
 within an Arrow batch are settled before the shuffle, so an anchor in a third of all documents sends one row per batch
-for each of its distinct surroundings.
+for each of its distinct surroundings. A segment's content goes by two independent hashes of 64 bits.
 """
 
 from __future__ import annotations
@@ -21,24 +21,24 @@ from meshwork.llm.common import PIECE, materialize, mix, split_long, text_pieces
 
 #: at: first window << 10 | number of windows << 2 | settled << 1 | copies. settled: the segment repeats an earlier one of
 #: its batch, and anchor only deals it out; copies: an equal one is in the batch.
-SCHEMA = "rid long, at long, anchor long, hash long"
-_arrow = pa.schema([("rid", pa.int64()), ("at", pa.int64()), ("anchor", pa.int64()), ("hash", pa.int64())])
+SCHEMA = "rid long, at long, anchor long, hash long, check long"
+_arrow = pa.schema([("rid", pa.int64()), ("at", pa.int64()), ("anchor", pa.int64()), ("hash", pa.int64()), ("check", pa.int64())])
 
-#: From bytes and document offsets to values and the documents' offsets in them.
-Values = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: From bytes and document offsets to values, other values for the check, and the documents' offsets in them.
+Values = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def batch_segments(texts: pa.Array, rids: np.ndarray, values: Values, length: int, k: int) -> dict[str, np.ndarray]:
     parts = []
     for a, _, buf, offsets in text_pieces(texts):
-        v, bounds = values(buf, offsets)
+        v, other, bounds = values(buf, offsets)
         pieces = split_long(bounds, length, 4 * PIECE) if len(v) > 5 * PIECE and len(bounds) == 2 else [(0, len(v))]
         for lo, hi in pieces:
-            s = window_segments(v[lo:hi], bounds if len(pieces) == 1 else np.array([0, hi - lo]), length, k)
+            s = window_segments(v[lo:hi], bounds if len(pieces) == 1 else np.array([0, hi - lo]), length, k, other[lo:hi])
             s["first"] = s["first"] + lo
             s["rid"] = rids[s["doc"] + a]
             parts.append(s)
-    return {x: np.concatenate([p[x] for p in parts]) if parts else np.zeros(0, np.int64) for x in ("rid", "first", "count", "anchor", "hash")}
+    return {x: np.concatenate([p[x] for p in parts]) if parts else np.zeros(0, np.int64) for x in ("rid", "first", "count", "anchor", "hash", "check")}
 
 
 def segments(rows: DataFrame, values: Values, length: int, k: int) -> DataFrame:
@@ -51,10 +51,10 @@ def segments(rows: DataFrame, values: Values, length: int, k: int) -> DataFrame:
             n = len(s["rid"])
             if not n:
                 continue
-            order = np.lexsort((s["first"], s["rid"], s["hash"], s["anchor"]))
-            a, h = s["anchor"][order], s["hash"][order]
+            order = np.lexsort((s["first"], s["rid"], s["check"], s["hash"], s["anchor"]))
+            a, h, c = s["anchor"][order], s["hash"][order], s["check"][order]
             again = np.zeros(n, bool)
-            again[1:] = (a[1:] == a[:-1]) & (h[1:] == h[:-1])
+            again[1:] = (a[1:] == a[:-1]) & (h[1:] == h[:-1]) & (c[1:] == c[:-1])
             copies = again.copy()
             copies[:-1] |= again[1:]
             rid, first, count = (s[x][order] for x in ("rid", "first", "count"))
@@ -63,7 +63,7 @@ def segments(rows: DataFrame, values: Values, length: int, k: int) -> DataFrame:
             back = np.lexsort((first, rid))  # neighbours in the table are alike, which compresses
             for at in range(0, n, 1 << 17):
                 z = back[at : at + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(c[z]) for c in (rid, packed, a, h)], schema=_arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(x[z]) for x in (rid, packed, a, h, c)], schema=_arrow)
 
     return rows.select("_rid", F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
@@ -76,12 +76,12 @@ def compared(segs: DataFrame, name: str) -> DataFrame:
     """
     settled = F.col("at").bitwiseAND(F.lit(2)) != 0
     group = W.partitionBy("anchor")
-    order = group.orderBy("hash", "rid", "at")
-    same = lambda o: F.coalesce(o == F.col("hash"), F.lit(False))
-    x = segs.withColumn("_prev", F.lag("hash").over(order)).withColumn("_next", F.lead("hash").over(order))
-    x = x.withColumn("mixed", F.min("hash").over(group) < F.max("hash").over(group))
-    x = x.withColumn("again", settled | same(F.col("_prev")))
-    x = x.withColumn("copies", (F.col("at").bitwiseAND(F.lit(1)) != 0) | F.col("again") | same(F.col("_next")))
+    order = group.orderBy("hash", "check", "rid", "at")
+    same = lambda f: F.coalesce((f("hash").over(order) == F.col("hash")) & (f("check").over(order) == F.col("check")), F.lit(False))
+    x = segs.withColumns({"_before": same(F.lag), "_behind": same(F.lead)})
+    x = x.withColumn("mixed", (F.min("hash").over(group) < F.max("hash").over(group)) | (F.min("check").over(group) < F.max("check").over(group)))
+    x = x.withColumn("again", settled | F.col("_before"))
+    x = x.withColumn("copies", (F.col("at").bitwiseAND(F.lit(1)) != 0) | F.col("again") | F.col("_behind"))
     x = x.filter("again or copies or mixed").select("rid", F.shiftright("at", 10).cast("int").alias("first"), F.shiftright("at", 2).bitwiseAND(F.lit(255)).cast("int").alias("count"), "anchor", "hash", "again", "copies", "mixed")
     return materialize(x, name)
 

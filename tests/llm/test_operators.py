@@ -178,7 +178,7 @@ def test_maximal_segments_equal_brute_force():
         for i, s in hits:
             score[i] = s
         top = max((sum(score[a:b]) for a in range(n) for b in range(a + 1, n + 1)), default=0)
-        got = toxicity.maximal_segments(hits, 0.6)
+        got = toxicity.maximal_segments(score)
         assert all(abs(sum(score[a:b]) - s) < 1e-9 for a, b, s in got)
         assert top <= 0 or abs(max(s for *_, s in got) - top) < 1e-9
 
