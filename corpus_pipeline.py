@@ -1,7 +1,8 @@
 """The corpus pipeline: toxicity, near-duplicates, repeated passages, benchmark leaks, mixing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
-Rows without an id are kept by the filters unless their own text is rejected; empty tables pass through.
+Every row is judged by its own text: rows with a null id or one that other rows have too are kept or dropped by
+themselves. Empty tables pass through; further columns of documents are left behind.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwork.llm import debruijn, decontaminate, minhash, mixing, toxicity
-from meshwork.llm.common import materialize, read_table
+from meshwork.llm.common import materialize, read_table, with_row_id
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -35,10 +36,11 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark passage occurs."""
-    found = decontaminate.find(docs, read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak")).distinct()
+    """Documents in which no benchmark passage occurs, told apart by row, so null and repeated ids do no harm."""
+    rows = with_row_id(docs.select(*COLUMNS))
+    found = decontaminate.find(rows, read_table(spark, sf_dir, "benchmark"), keep=("_rid",)).select(F.col("_rid").alias("_leak")).distinct()
     found = materialize(found, "leaks")
-    return docs.select(*COLUMNS).join(found, F.col("doc_id") == F.col("_leak"), "left_anti")
+    return rows.join(found, F.col("_rid") == F.col("_leak"), "left_anti").drop("_rid")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
