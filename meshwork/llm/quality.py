@@ -1,25 +1,32 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
-Each rule is a boolean expression that is true for a bad document. Cost and selectivity of each rule are measured on a
-bounded sample; rules then stand in one CASE expression, ordered by rejections per second, so a document that an early
-rule rejects never pays for the later ones. The order changes the cost, never the verdict.
+Each rule is a boolean expression that is true for a bad document. On a bounded sample each rule's cost is timed (its job
+against one that only reads the texts, the least of several warm runs), and what all rules say of each sampled document is
+counted. Rules are then chosen one by one by rejections per second among the documents that those before leave, and stand
+in one CASE expression in that order, so a document that an early rule rejects never pays for the later ones. The order
+changes the cost, never the verdict.
+
+Repeated 3-word windows are found by sorting their hashes, packed with their places into longs; where two neighbours'
+hashes agree but not their words, that text is judged by sorting the windows themselves.
 
 Cases: a null or empty text has no words, fails the base rule and is not kept; repeated rows are judged alike; an empty
-table gives an empty result; further columns pass through `cascade` untouched (columns named _q_* are its own).
+table gives an empty result; further columns pass through `quality_filter` untouched (columns named _q_* are its own).
 """
 
 from __future__ import annotations
 
 import time
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import WORD
+from meshwork.llm.common import WORD, materialize
 
-#: Rows in the sample on which costs and selectivities are estimated.
-SAMPLE_ROWS = 200
+#: Rows in the sample on which costs and selectivities are estimated, and runs of which the fastest counts.
+SAMPLE_ROWS = 2000
+RUNS = 3
 SYMBOLS = r"[#*$%&|<>]"
 
 
@@ -28,31 +35,48 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
-def repeated_words(words: Column) -> Column:
-    """Number of words inside 3-word windows that occur twice or more in the text, the first included.
-
-    Windows are sorted with their positions; equal neighbours mark the positions that they cover.
-    """
+def repeated_by_words(words: Column) -> Column:
+    """Places of 3-word windows that occur twice or more, by sorting the windows with their places."""
     n = F.size(words)
     windows = F.slice(F.arrays_zip(words.alias("a"), F.slice(words, 2, n).alias("b"), F.slice(words, 3, n).alias("c"), F.sequence(F.lit(0), n - 1).alias("p")), 1, n - 2)
     ordered = F.sort_array(windows)
     pairs = F.arrays_zip(ordered.alias("x"), F.slice(ordered, 2, n).alias("y"))
     same = F.filter(pairs, lambda z: (z["x"]["b"] == z["y"]["b"]) & (z["x"]["a"] == z["y"]["a"]) & (z["x"]["c"] == z["y"]["c"]))
-    covered = F.flatten(F.transform(same, lambda z: F.array(*[z[s]["p"] + i for s in ("x", "y") for i in range(3)])))
-    return F.when(n < 4, F.lit(0)).otherwise(F.size(F.array_distinct(covered))).cast("long")
+    return F.flatten(F.transform(same, lambda z: F.array(z["x"]["p"], z["y"]["p"])))
+
+
+def with_repeated_words(df: DataFrame, words: str = "_q_words") -> DataFrame:
+    """Adds n_repeat_words: words inside 3-word windows that occur twice or more in the text, the first included.
+
+    Each step is a column of its own, so that what later steps use several times is computed once.
+    """
+    w, n, keys, bits = F.col(words), F.size(words), F.col("_q_keys"), F.col("_q_bits")
+    shift = lambda f, x: F.call_function(f, x, bits)
+    some = n >= 4
+    key = lambda i: shift("shiftleft", F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))).bitwiseOR(i.cast("long"))
+    place = lambda i: F.get(keys, i).bitwiseAND(shift("shiftleft", F.lit(1).cast("long")) - 1).cast("int")
+    hashed = lambda i: shift("shiftright", F.get(keys, i))
+    differs = lambda i: F.exists(F.array(*map(F.lit, range(3))), lambda k: F.get(w, place(i) + k) != F.get(w, place(i + 1) + k))
+    ints = "array<int>"
+    df = df.withColumn("_q_bits", F.length(F.bin(n)))
+    df = df.withColumn("_q_keys", F.when(some, F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), key))))
+    df = df.withColumn("_q_same", F.when(some, F.filter(F.sequence(F.lit(0), n - 4), lambda i: hashed(i) == hashed(i + 1))))
+    by_hash = F.flatten(F.transform("_q_same", lambda i: F.array(place(i), place(i + 1))))
+    found = F.when(F.exists("_q_same", differs), repeated_by_words(w).cast(ints)).otherwise(by_hash)
+    df = df.withColumn("_q_starts", F.when(F.size("_q_same") > 0, F.sort_array(F.array_distinct(found))))
+    starts = F.col("_q_starts")
+    gaps = F.aggregate(F.sequence(F.lit(1), F.size(starts) - 1), F.lit(3), lambda a, k: a + F.least(F.lit(3), F.get(starts, k) - F.get(starts, k - 1)))
+    n_repeat = F.when(F.size(starts) > 1, gaps).otherwise(F.lit(0)).cast("long")
+    return df.withColumn("n_repeat_words", n_repeat).drop("_q_bits", "_q_keys", "_q_same", "_q_starts")
 
 
 def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = df.withColumn("_q_words", words_of(F.col(text)))
-    words = F.col("_q_words")
-    return (
-        out.withColumns({"n_words": F.size(words).cast("long"), "word_chars": F.length(F.array_join(words, "")).cast("long"), "n_symbols": F.regexp_count(whole, F.lit(SYMBOLS)).cast("long"), "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"), "n_repeat_words": repeated_words(words)})
-        .withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-        .drop("_q_words")
-    )
+    out = df.withColumns({"_q_words": words_of(F.col(text)), "_q_lines": F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
+    words, lines = F.col("_q_words"), F.col("_q_lines")
+    out = with_repeated_words(out).withColumns({"n_words": F.size(words).cast("long"), "word_chars": F.length(F.array_join(words, "")).cast("long"), "n_symbols": F.regexp_count(whole, F.lit(SYMBOLS)).cast("long"), "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")})
+    return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).drop("_q_words", "_q_lines")
 
 
 @dataclass(frozen=True)
@@ -77,28 +101,47 @@ def default_rules(text: str = "text") -> list[Rule]:
     ]
 
 
-def measure(df: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
-    """(rule, seconds, share rejected) for each rule, on sample_rows rows."""
-    spark = df.sparkSession
-    rows = df.take(sample_rows)
-    if not rows:
-        return [(r.name, 1.0, 0.0) for r in rules]
-    sample = spark.createDataFrame(rows, df.schema)
-    out = []
-    for rule in rules:
-        begin = time.perf_counter()
-        hit = sample.agg(F.count_if(F.coalesce(rule.rejects, F.lit(False))).alias("n")).first()["n"]
-        out.append((rule.name, time.perf_counter() - begin, hit / len(rows)))
+@dataclass(frozen=True)
+class Measured:
+    """Seconds of each rule on the sample, and how many sampled documents each set of rules rejects together."""
+
+    seconds: dict[str, float]
+    verdicts: dict[frozenset[str], int]
+
+
+def measure(df: DataFrame, text: str, rules: list[Rule], sample_rows: int = SAMPLE_ROWS, runs: int = RUNS) -> Measured:
+    """Costs and verdicts of rules on a sample of the first sample_rows rows, written to the shared folder."""
+    sample = materialize(df.select(text).limit(sample_rows), "quality-sample")
+    hits = {r.name: F.coalesce(r.rejects, F.lit(False)) for r in rules}
+
+    def seconds(job: DataFrame) -> float:
+        job.collect()  # compiles the code
+        took = []
+        for _ in range(runs):
+            begun = time.perf_counter()
+            job.collect()
+            took.append(time.perf_counter() - begun)
+        return min(took)
+
+    reading = seconds(sample.agg(F.sum(F.length(text))))
+    cost = {name: max(1e-4, seconds(sample.agg(F.count_if(hit))) - reading) for name, hit in hits.items()}
+    sets = sample.groupBy(F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in hits.items()])).alias("by")).count()
+    return Measured(cost, {frozenset(r["by"]): r["count"] for r in sets.collect()})
+
+
+def order_rules(rules: list[Rule], m: Measured) -> list[Rule]:
+    """At each step the rule with most rejections per second among what is left; ties by name."""
+    left, verdicts, out = list(rules), Counter(m.verdicts), []
+    while left:
+        rejected = {r.name: sum(n for by, n in verdicts.items() if r.name in by) for r in left}
+        best = min(left, key=lambda r: (-rejected[r.name] / m.seconds[r.name], m.seconds[r.name], r.name))
+        out.append(best)
+        left.remove(best)
+        verdicts = Counter({by: n for by, n in verdicts.items() if best.name not in by})
     return out
 
 
-def order_rules(rules: list[Rule], measured: list[tuple[str, float, float]]) -> list[Rule]:
-    """Most rejections per second first; ties by name."""
-    rate = {name: share / max(cost, 1e-6) for name, cost, share in measured}
-    return sorted(rules, key=lambda r: (-rate[r.name], r.name))
-
-
-def cascade(df: DataFrame, rules: list[Rule]) -> Column:
+def cascade(rules: list[Rule]) -> Column:
     """The name of the first rule that rejects the document, null if none does."""
     verdict = None
     for r in rules:
@@ -108,11 +151,12 @@ def cascade(df: DataFrame, rules: list[Rule]) -> Column:
 
 
 def quality_filter(df: DataFrame, text: str = "text", rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """df with the base counts, base_failed, rejected_by and kept."""
+    """df with the base counts, base_failed, rejected_by and kept. The base rule comes first, as its counts are results
+    for every document and so are paid for anyway; the cascade judges what it leaves."""
     rules = default_rules(text) if rules is None else rules
-    ordered = order_rules(rules, measure(df.select(text), rules, sample_rows))
+    ordered = order_rules(rules, measure(df, text, rules, sample_rows)) if len(rules) > 1 else rules
     out = base_counts(df, text)
-    out = out.withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(out, ordered)))
+    out = out.withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(ordered)))
     return out.withColumn("kept", F.col("rejected_by").isNull())
 
 

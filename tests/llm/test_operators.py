@@ -150,9 +150,23 @@ def test_quality_counts_and_order(docs):
         assert cover is None or got[i]["n_repeat_words"] == len(cover)
         assert got[i]["base_failed"] == (len(w) < 50 or 100 * got[i]["n_repeat_words"] > 50 * len(w))
         assert not (got[i]["kept"] and got[i]["base_failed"])
-    rules = quality.default_rules()
-    cheap = quality.order_rules(rules, [(r.name, 1.0 + k, 0.5) for k, r in enumerate(rules)])
-    assert [r.name for r in cheap] == [r.name for r in rules]
+
+
+def test_quality_rules_are_ordered_by_what_is_left():
+    rules = [quality.Rule(x, None) for x in "abc"]
+    # b alone rejects most a second; what it leaves, c rejects rather than a
+    m = quality.Measured({"a": 1.0, "b": 1.0, "c": 2.0}, {frozenset(): 50, frozenset("ab"): 30, frozenset("b"): 5, frozenset("c"): 10, frozenset("a"): 4})
+    assert [r.name for r in quality.order_rules(rules, m)] == ["b", "c", "a"]
+
+
+def test_quality_repeats_without_hashes_agree(docs):
+    """What sorting the windows themselves finds equals what sorting hashes finds."""
+    from pyspark.sql import functions as F
+
+    rows = docs.withColumn("_q_words", quality.words_of(F.col("text")))
+    starts = F.array_distinct(F.flatten(F.transform(quality.repeated_by_words(F.col("_q_words")), lambda p: F.array(p, p + 1, p + 2))))
+    both = quality.with_repeated_words(rows).withColumn("x", F.when(F.size("_q_words") > 3, F.size(starts)).otherwise(0))
+    assert both.filter("x <> n_repeat_words").count() == 0 and both.filter("x > 0").count() > 3
 
 
 def test_warc_round_trip(spark):
