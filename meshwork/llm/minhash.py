@@ -50,6 +50,9 @@ SMALL = 64
 FULL = 512
 GROUPS = 6
 LEVELS = 3
+#: Groups and buckets of more rows are dealt to several tasks: groups in parts of HOT, buckets in PARTS parts.
+HOT = 256
+PARTS = 64
 #: At most so many ids (8 bytes each) are broadcast to pick texts; beyond, texts are shuffled to their ids.
 IDS = 1 << 20
 #: Of the signature's minima so many must agree before sets are compared; at 0.85 fewer agree with probability 1e-6.
@@ -137,10 +140,31 @@ def verified(pairs: DataFrame, sets: DataFrame, least: int, agree: int) -> DataF
     return both.withColumn("_c", common).filter(100 * F.col("_c") >= least * (F.size("x") + F.size("y") - F.col("_c"))).select("a", "b")
 
 
+def in_group(rows: DataFrame, groups: DataFrame, how: str = "inner", by: str = "id") -> DataFrame:
+    """rows (g, size, ...) with their group's row in groups (_g, _size, ...); a large group's rows go in parts of HOT."""
+    parts = lambda c: F.ceil(F.col(c) / HOT).cast("long")
+    x = rows.withColumn("_salt", F.pmod(F.xxhash64(by), parts("size")))
+    y = groups.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts("_size") - 1))).drop("_size")
+    return x.join(y, (F.col("g") == F.col("_g")) & (F.col("_salt") == F.col("_part")), how).drop("_salt", "_part")
+
+
+def in_bucket(rows: DataFrame, key: str, buckets: DataFrame) -> DataFrame:
+    """rows (id, key, ...) with their bucket's row in buckets (_k, n, ...), where there is one. As rows don't know how
+    large their bucket is, those of large ones are found first, with each of these in PARTS parts."""
+    large = buckets.filter(F.col("n") > HOT)
+    if large.isEmpty():
+        return rows.join(buckets, F.col(key) == F.col("_k")).drop("_k")
+    cols = [c for c in buckets.columns if c != "_k"]
+    parts = large.select("_k", *cols, F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"))
+    x = rows.join(parts, (F.col(key) == F.col("_k")) & (F.pmod(F.xxhash64("id"), F.lit(PARTS)) == F.col("_part")), "left").drop("_part")
+    rest = x.filter("_k is null").drop("_k", *cols).join(buckets.filter(F.col("n") <= HOT), F.col(key) == F.col("_k"))
+    return x.filter("_k is not null").drop("_k").unionByName(rest.drop("_k"))
+
+
 def bucket_pairs(keys: DataFrame) -> DataFrame:
     """Each member of a bucket with the bucket's smallest id."""
-    first = keys.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("_k"), "a")
-    return keys.join(first, F.col("key") == F.col("_k")).filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+    first = keys.groupBy(F.col("key").alias("_k")).agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    return in_bucket(keys, "key", materialize(first, "buckets")).filter("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
 def possible(least: int, h: str) -> Column:
@@ -169,7 +193,7 @@ def within_few(sets: DataFrame, agree: int) -> DataFrame:
 
 
 def core_distances(sets: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(id, g, f, h, k) of large groups' members, (id, key) of those that hold one of its rarer shingles, (_g, core).
+    """(id, g, size, f, h, k) of large groups' members, (id, key) of those that hold one of its rarer shingles, (_g, core).
 
     f is (100 + least) * |D| - (100 - least) * |s|, so a pair links for certain if its f sum to 0 or less. h counts the
     part of D that another member might share, k what is common of it: missing parts of the core, and shingles that more
@@ -178,17 +202,17 @@ def core_distances(sets: DataFrame, least: int) -> tuple[DataFrame, DataFrame, D
     """
     many = sets.filter(F.col("size") > FEW)
     each = many.select("g", "size", "id", F.explode("s").alias("x"))
-    counted = each.groupBy("g", "x").agg(F.count("*").alias("df"), F.min("id").alias("one"), (2 * F.count("*") > F.max("size")).alias("core"))
+    counted = each.groupBy("g", "x").agg(F.count("*").alias("df"), F.min("id").alias("one"), F.max("size").alias("size"), (2 * F.count("*") > F.max("size")).alias("core"))
     counted = materialize(counted.filter(f"core or df <= {SMALL}"), "counted")
-    cores = counted.filter("core").groupBy(F.col("g").alias("_g")).agg(F.collect_list("x").alias("core"))
+    cores = counted.filter("core").groupBy(F.col("g").alias("_g")).agg(F.max("size").alias("_size"), F.collect_list("x").alias("core"))
     alone = counted.filter("df = 1").groupBy(F.col("one").alias("_i")).agg(F.count("*").alias("u"))
     rare = counted.filter("df > 1 and not core").select(F.col("g").alias("_g"), F.col("x").alias("_x"))
-    rare = materialize(each.join(rare, (F.col("g") == F.col("_g")) & (F.col("x") == F.col("_x"))).select("id", F.xxhash64("g", "x").alias("key")), "rare")
+    rare = materialize(each.drop("size").join(rare, (F.col("g") == F.col("_g")) & (F.col("x") == F.col("_x"))).select("id", F.xxhash64("g", "x").alias("key")), "rare")
     held = rare.groupBy(F.col("id").alias("_r")).agg(F.count("*").alias("r"))
     size = F.coalesce(F.size("core"), F.lit(0)) + F.size("s") - 2 * F.when(F.col("core").isNull(), 0).otherwise(F.size(F.array_intersect("s", "core")))
-    at = many.join(cores, F.col("g") == F.col("_g"), "left").select("id", "g", F.size("s").cast("long").alias("n"), size.cast("long").alias("d"))
+    at = in_group(many, cores, "left").select("id", "g", "size", F.size("s").cast("long").alias("n"), size.cast("long").alias("d"))
     at = at.join(alone, F.col("id") == F.col("_i"), "left").join(held, F.col("id") == F.col("_r"), "left").withColumn("h", F.col("d") - F.coalesce("u", F.lit(0)))
-    out = at.select("id", "g", ((100 + least) * F.col("d") - (100 - least) * F.col("n")).alias("f"), "h", (F.col("h") - F.coalesce("r", F.lit(0))).alias("k"))
+    out = at.select("id", "g", "size", ((100 + least) * F.col("d") - (100 - least) * F.col("n")).alias("f"), "h", (F.col("h") - F.coalesce("r", F.lit(0))).alias("k"))
     return materialize(out, "distances"), rare, cores
 
 
@@ -199,14 +223,14 @@ def sharing(rare: DataFrame, stats: DataFrame, least: int) -> DataFrame:
 
 
 def still_open(placed: DataFrame, least: int) -> DataFrame:
-    """Of placed (id, g, f, h, k, c) the members that may link to another component by common parts of D alone."""
+    """Of placed (id, g, size, f, h, k, c) the members that may link to another component by common parts of D alone."""
     placed = placed.withColumn("r", F.col("f") - 2 * (100 + least) * F.col("k"))
-    each = placed.groupBy("g", "c").agg(F.min("f").alias("f"), F.min("r").alias("r"))
-    one = each.groupBy(F.col("g").alias("_g")).agg(F.min(F.struct("f", "c")).alias("bf"), F.min(F.struct("r", "c")).alias("br"), F.count("*").alias("k")).filter("k > 1")
-    two = each.join(one, F.col("g") == F.col("_g")).groupBy("_g").agg(F.first("bf").alias("bf"), F.first("br").alias("br"), F.min(F.when(F.col("c") != F.col("bf.c"), F.col("f"))).alias("f2"), F.min(F.when(F.col("c") != F.col("br.c"), F.col("r"))).alias("r2"))
-    x = placed.join(two, F.col("g") == F.col("_g"))
+    each = placed.groupBy("g", "c").agg(F.max("size").alias("size"), F.min("f").alias("f"), F.min("r").alias("r"))
+    one = each.groupBy(F.col("g").alias("_g")).agg(F.max("size").alias("_size"), F.min(F.struct("f", "c")).alias("bf"), F.min(F.struct("r", "c")).alias("br"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    two = in_group(each, one, by="c").groupBy("_g").agg(F.max("size").alias("_size"), F.max("bf").alias("bf"), F.max("br").alias("br"), F.min(F.when(F.col("c") != F.col("bf.c"), F.col("f"))).alias("f2"), F.min(F.when(F.col("c") != F.col("br.c"), F.col("r"))).alias("r2"))
+    x = in_group(placed, two)
     f, r = F.when(F.col("c") != F.col("bf.c"), F.col("bf.f")).otherwise(F.col("f2")), F.when(F.col("c") != F.col("br.c"), F.col("br.r")).otherwise(F.col("r2"))
-    return x.filter((F.col("r") + f <= 0) & (F.col("f") + r <= 0)).select("id", "g", "f", "h", "k", "c", f.alias("o"))
+    return x.filter((F.col("r") + f <= 0) & (F.col("f") + r <= 0)).select("id", "g", "size", "f", "h", "k", "c", f.alias("o"))
 
 
 def sharing_differences(alive: DataFrame, sets: DataFrame, cores: DataFrame, least: int) -> DataFrame:
@@ -218,8 +242,8 @@ def sharing_differences(alive: DataFrame, sets: DataFrame, cores: DataFrame, lea
     shingle's holders meet in pairs of blocks of some FULL / 2, so that a frequent one is shared among tasks.
     """
     core = F.coalesce("core", F.array().cast("array<bigint>"))
-    own = alive.select("id", "g", "f", "c", "o").join(sets.select(F.col("id").alias("_i"), "s"), F.col("id") == F.col("_i"))
-    each = own.join(cores, F.col("g") == F.col("_g"), "left").select("id", "g", "f", "c", "o", F.explode(F.concat(F.array_except("s", core), F.array_except(core, "s"))).alias("t"))
+    own = alive.select("id", "g", "size", "f", "c", "o").join(sets.select(F.col("id").alias("_i"), "s"), F.col("id") == F.col("_i"))
+    each = in_group(own, cores, "left").select("id", "g", "f", "c", "o", F.explode(F.concat(F.array_except("s", core), F.array_except(core, "s"))).alias("t"))
     each = materialize(each, "differences")
     held = each.groupBy(F.col("g").alias("_g"), F.col("t").alias("_t")).agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").drop("lo", "hi")
     lists = each.join(held, (F.col("g") == F.col("_g")) & (F.col("t") == F.col("_t"))).groupBy("id", "g", "f", "c", "o").agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("l"))
@@ -249,14 +273,15 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, tables: int = TABLES, w
     pairs = materialize(bucket_pairs(keyed(own)), "pairs")
     # only members of buckets with others can link; their sets are computed once, the signature beside them
     group = materialize(components(pairs).withColumnsRenamed({"id": "_i", "component_id": "g"}), "groups")
-    group = group.join(group.groupBy(F.col("g").alias("_g")).agg(F.count("*").alias("size")), F.col("g") == F.col("_g")).drop("_g")
+    sizes = materialize(group.groupBy(F.col("g").alias("_k")).agg(F.count("*").alias("n")), "sizes")
+    group = in_bucket(group.withColumnRenamed("_i", "id"), "g", sizes).withColumnsRenamed({"id": "_i", "n": "size"})
     member = materialize(own.join(group, F.col("id") == F.col("_i")).drop("_i"), "members")
     ids = member.select(F.col("id").alias("_i"))
     texts = rows.join(F.broadcast(ids) if ids.count() <= IDS else ids, F.col("_rid") == F.col("_i"), "left_semi").select("_rid", "text")
     sets = materialize(full_sets(texts).join(member.select("id", "g", "size", "minima"), "id"), "sets")
     stats, rare, cores = core_distances(sets, least)
-    best = stats.groupBy(F.col("g").alias("_g")).agg(F.min(F.struct("f", "id")).alias("b"))
-    sure = stats.join(best, F.col("g") == F.col("_g")).filter("f + b.f <= 0 and id <> b.id").select(F.col("b.id").alias("a"), F.col("id").alias("b"))
+    best = stats.groupBy(F.col("g").alias("_g")).agg(F.max("size").alias("_size"), F.min(F.struct("f", "id")).alias("b"))
+    sure = in_group(stats, best).filter("f + b.f <= 0 and id <> b.id").select(F.col("b.id").alias("a"), F.col("id").alias("b"))
     x, y = sides(stats)
     tied = pairs.join(x, "a").join(y, "b").filter(F.col("fa") + F.col("fb") > 0).filter(possible(least, "k")).select("a", "b")
     near = reduce(DataFrame.unionByName, [within_few(sets, agree), tied, sharing(rare, stats, least)]).distinct()
@@ -269,20 +294,21 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, tables: int = TABLES, w
         """Rows of buckets that hold several components, with the component and the bucket's size."""
         x = keys.join(label.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"), "left").withColumn("c", F.coalesce("component_id", "id")).drop("_i", "component_id")
         s = x.groupBy(F.col("key").alias("_k")).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("_k", "n")
-        return x.join(s, F.col("key") == F.col("_k")).drop("_k")
+        return in_bucket(x, "key", materialize(s, "buckets"))
 
     def placed() -> DataFrame:
         return stats.join(label.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"), "left").withColumn("c", F.coalesce("component_id", "id"))
 
     label = labels()
-    alive = materialize(still_open(placed(), least).drop("c", "o").withColumnsRenamed({"id": "_i", "g": "_g"}), "open")
+    alive = materialize(still_open(placed(), least).drop("c", "o"), "open")
     # where few are left of a group, the group itself serves as their bucket
-    left = alive.groupBy(F.col("_g").alias("_a")).agg(F.count("*").alias("left"))
-    alive = member.join(alive, F.col("id") == F.col("_i")).join(left, F.col("_g") == F.col("_a"))
-    cols = ("g", "minima", "f", "h", "k")
+    left = alive.groupBy(F.col("g").alias("_g")).agg(F.max("size").alias("_size"), F.count("*").alias("left"))
+    alive = in_group(alive, left).drop("_g", "g", "size").withColumnRenamed("id", "_i")
+    alive = member.join(alive, F.col("id") == F.col("_i"))
+    cols = ("g", "size", "minima", "f", "h", "k")
     keys = alive.filter(F.col("left") <= FULL).select("id", *cols, F.xxhash64("g").alias("key"))
     rest = materialize(mixed(keys.unionByName(keyed(alive.filter(F.col("left") > FULL), *cols))), "mixed")
-    torn = materialize(rest.filter(F.col("n") > FULL).select(F.col("g").alias("_t")).distinct(), "torn")
+    torn = materialize(rest.filter(F.col("n") > FULL).groupBy(F.col("g").alias("_t")).agg(F.max("size").alias("size")), "torn")
     for level in range(LEVELS):
         if rest.isEmpty():
             break
@@ -299,7 +325,8 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, tables: int = TABLES, w
         rest = materialize(mixed(cut), "mixed")
     if not torn.isEmpty():
         # what the cuts have left, or torn apart
-        alive = materialize(still_open(placed(), least).join(torn, F.col("g") == F.col("_t"), "left_semi"), "open")
+        torn = torn.withColumnsRenamed({"_t": "_g", "size": "_size"})
+        alive = materialize(in_group(still_open(placed(), least), torn).drop("_g"), "open")
         found = materialize(verified(sharing_differences(alive, sets, cores, least), sets, least, agree), "verified")
         if not found.isEmpty():
             links.append(found)
