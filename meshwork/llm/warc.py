@@ -17,16 +17,20 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import collect_garbage, scratch_path
+from meshwork.llm.common import collect_garbage, materialize, scratch_path
 
 #: Payloads of fewer bytes are always stored whole.
 LEAST = 100
 DATE = "2024-01-01T00:00:00Z"
-#: Records in one archive at most; the writer starts another file beyond.
-RECORDS_PER_FILE = 4096
+#: Bytes of payloads in an archive, if it isn't a single record's, and bytes of a payload in the lowest size class.
+ARCHIVE = 1 << 28
+SMALL = 1 << 16
+#: Repeated payloads (a digest and an id each) that are broadcast at most, and parts of one payload's pages beyond.
+BROADCAST = 1 << 18
+PARTS = 16
 CHUNK = 1 << 16
 COLUMNS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
@@ -97,27 +101,50 @@ def decode_record(data: bytes) -> dict:
     return {"page_id": number("Page-Id"), "url": url, "record_type": fields["WARC-Type"], "refers_to": number("Refers-To-Page-Id"), "payload_bytes": size, "payload_digest": digest, "payload": None if revisit else payload}
 
 
+def size_class(size: Column) -> Column:
+    """0 up to SMALL bytes, then one more each time the size doubles."""
+    return F.when(size <= SMALL, 0).otherwise(F.ceil(F.log2(size / SMALL))).cast("int")
+
+
 def write_warc(pages: DataFrame, path: str) -> None:
-    """Writes pages (page_id, url, html) as WARC archives under path.
+    """Writes pages (page_id, url, html) as WARC archives under path, each of at most some ARCHIVE bytes or one record.
 
-    The first page of each payload is found from digests alone; only the digest of a payload that repeats joins back.
+    The first page of each payload is found from digests alone. These, for payloads that repeat, come back by a broadcast
+    up to BROADCAST of them; beyond, the pages are shuffled to them, those of one payload in PARTS parts. Pages are
+    written by size class, so that the number of records bounds an archive's bytes.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    p = p.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    first = p.filter(F.octet_length("html") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    first = first.filter("n > 1 and first is not null").select(F.col("digest").alias("_d"), "first")
-    joined = p.join(first, p["digest"] == first["_d"], "left").withColumn("refers_to", F.when(F.coalesce(F.col("page_id") != F.col("first"), F.lit(True)), F.col("first")))
-    joined = joined.select("page_id", "url", "html", "digest", "refers_to")
+    p = p.withColumns({"digest": F.sha2(F.col("html").cast("binary"), 256), "size": F.octet_length("html")})
+    by_digest = p.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("size").alias("size"), F.count("*").alias("n"))
+    by_digest = materialize(by_digest.filter("n > 1").unionByName(p.groupBy(size_class(F.col("size")).alias("c")).agg(F.count("*").alias("n")).select(F.lit(None).cast("string").alias("digest"), F.col("c").cast("long").alias("first"), F.lit(0).alias("size"), "n")), "digests")
+    classes = sorted(r["first"] for r in by_digest.filter("digest is null").select("first").collect())  # some twenty at most
+    first = by_digest.filter((F.col("size") >= LEAST) & F.col("first").isNotNull() & F.col("digest").isNotNull()).select(F.col("digest").alias("_d"), F.col("first"))
+    if first.count() <= BROADCAST:
+        joined = p.join(F.broadcast(first), F.col("digest") == F.col("_d"), "left")
+    else:
+        first = first.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        joined = p.join(first, (F.col("digest") == F.col("_d")) & (F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)) == F.col("_part")), "left")
+    joined = joined.withColumn("refers_to", F.when(F.coalesce(F.col("page_id") != F.col("first"), F.lit(True)), F.col("first")))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                rows = b.slice(at, 256).to_pylist()
-                yield pa.record_batch([pa.array([encode_record(r["page_id"], r["url"], r["html"].encode(), r["digest"], r["refers_to"])[:-1] for r in rows], pa.binary())], ["value"])
-
-    records = joined.mapInArrow(encode, "value binary")
-    # a cast from binary to string keeps the bytes as they are
-    records.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+            at = 0
+            while at < b.num_rows:  # records of some 16 MB at a time
+                out, held = [], 0
+                while at < b.num_rows and held < 1 << 24:
+                    r = b.slice(at, 1).to_pylist()[0]
+                    out.append(encode_record(r["page_id"], r["url"], r["html"].encode(), r["digest"], r["refers_to"])[:-1])
+                    held += len(out[-1])
+                    at += 1
+                yield pa.record_batch([pa.array(out, pa.binary())], ["value"])
+
+    for c in classes:
+        own = joined.filter(size_class(F.col("size")) == c).select("page_id", "url", "html", "digest", "refers_to")
+        # a cast from binary to string keeps the bytes as they are
+        records = own.mapInArrow(encode, "value binary").select(F.col("value").cast("string").alias("value"))
+        records.write.option("lineSep", "\0").option("maxRecordsPerFile", max(1, ARCHIVE // (SMALL << c))).text(f"{path}/{c}")
+    if not classes:
+        p.select("url").limit(0).write.text(f"{path}/0")
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:

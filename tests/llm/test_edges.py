@@ -199,3 +199,33 @@ def test_run_on_empty_tables(spark, tmp_path):
     for name, schema in (("documents", SCHEMA), ("benchmark", "item_id long, text string"), ("labels", LABELS)):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_faulty_archives_are_refused():
+    import zlib
+
+    html = b"<p>" + b"x" * 300
+    digest = __import__("hashlib").sha256(html).hexdigest()
+    member = warc.encode_record(1, "u", html, digest, None)
+    with pytest.raises(ValueError, match="ends within"):
+        list(warc.members(memoryview(member[:-9])))
+    record = zlib.decompress(member, 31)
+    for wrong in (record.replace(b"Content-Length: 3", b"Content-Length: 2"), record[:-10], record + b"x", b"WARC/1.0" + record[8:]):
+        with pytest.raises(ValueError):
+            warc.decode_record(wrong)
+    assert [len(x) for x in warc.members(memoryview(member * 3)) if x] == [len(record)] * 3
+
+
+@pytest.mark.parametrize("broadcast", [0, 1 << 18])
+def test_warc_of_all_sizes(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "BROADCAST", broadcast)
+    monkeypatch.setattr(warc, "SMALL", 256)
+    monkeypatch.setattr(warc, "ARCHIVE", 1024)
+    rng = random.Random(27)
+    texts = [None, "", "é" * 99, "a" * 100, "b" * 40_000, *(prose(rng, n) for n in (5, 30, 200, 900))]
+    rows = [(k, f"u{k}", texts[k % len(texts)]) for k in range(40)] + [(None, None, "a" * 100), (3, "again", "a" * 100)]
+    got = warc.query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    first = {t: min(i for i, _, x in rows if x == t and i is not None) for _, _, t in rows if len((t or "").encode()) >= 100}
+    want = [(i, len((t or "").encode()), None if i == first.get(t) else first.get(t)) for i, _, t in rows]
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(((r["page_id"], r["payload_bytes"], r["refers_to"]) for r in got), key=key) == sorted(want, key=key)
