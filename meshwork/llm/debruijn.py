@@ -136,7 +136,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     seen = single.groupBy(F.col("hash").alias("_h")).agg(F.count("*").alias("n"), F.max("copies").alias("c")).filter("n > 1 or c").select("_h")
     found = single.join(seen, F.col("hash") == F.col("_h"), "left_semi").select("rid", F.lit(1).alias("kind"), "first", F.lit(1).alias("count"), F.xxhash64("hash").alias("hash"))
     edges = segs.filter("copies").select("rid", F.lit(0).alias("kind"), "first", "count", "hash").unionByName(found)
-    return verified(rows, compact(edges, window))
+    return verified(rows, materialize(compact(edges, window), "spans"))
 
 
 def cut(raw: bytes, spans: pa.Scalar) -> tuple[int, int, bytes]:
