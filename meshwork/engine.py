@@ -17,7 +17,7 @@ from meshwork.functions.scalars import spark_type
 from meshwork.operators import algorithms, search
 from meshwork.operators.tables import Catalog, CatalogError, NodeTable, RelTable, Sequence
 from meshwork.plans import nodes as n
-from meshwork.plans.lineage import scratch, settled
+from meshwork.plans.lineage import partition_places, partition_starts, scratch, settled, written
 from meshwork.plans.lower import Lowering
 from meshwork.plans.parser import parse
 from meshwork.sources import catalogs, databases, files
@@ -45,7 +45,7 @@ class Engine:
         self.seed: int | None = None
         self.changed = 0
         self._saved: Catalog | None = None
-        self._fts: dict[str, tuple[int, tuple[DataFrame, DataFrame, DataFrame]]] = {}
+        self._fts: dict[str, tuple[DataFrame, tuple[DataFrame, DataFrame, DataFrame]]] = {}
 
     # -- queries
 
@@ -66,10 +66,11 @@ class Engine:
 
     # -- registering
 
-    def node_table(self, name: str, key: str, df: DataFrame) -> None:
+    def node_table(self, name: str, key: str, df: DataFrame | Callable[[], DataFrame]) -> None:
+        """A table, or what opens it when a query first uses it."""
         self.catalog.add_node(name, key, df)
 
-    def rel_table(self, name: str, source: str, target: str, df: DataFrame) -> None:
+    def rel_table(self, name: str, source: str, target: str, df: DataFrame | Callable[[], DataFrame]) -> None:
         self.catalog.add_rel(name, source, target, df)
 
     def register_function(self, name: str, build: Callable[..., Column]) -> None:
@@ -82,8 +83,9 @@ class Engine:
 
     def numbered(self, df: DataFrame, column: str, start: int) -> DataFrame:
         """df with consecutive numbers, from partition sizes rather than one sorted task."""
-        schema = T.StructType([*df.schema.fields, T.StructField(column, T.LongType())])
-        return self.spark.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + start)), schema)
+        placed = settled(df.select("*", *partition_places()))
+        out = placed.join(F.broadcast(partition_starts(placed)), "_part").withColumn(column, F.col("_start") + F.col("_place") + start)
+        return out.select(*(F.col(f"`{c}`") for c in df.columns), column)
 
     def scratch(self, name: str) -> str:
         return scratch(self.spark, name)
@@ -376,8 +378,8 @@ class Engine:
             raise CatalogError(f"no full-text index {name}")
         t = self.catalog.nodes[ix["table"]]
         held = self._fts.get(name)
-        if held is None or held[0] != id(t.df):
-            held = (id(t.df), tuple(map(settled, search.postings(t.df, t.key, ix["column"]))))
+        if held is None or held[0] is not t.df:  # tables don't change; a new version is another object
+            held = (t.df, tuple(map(written, search.postings(t.df, t.key, ix["column"]))))
             self._fts[name] = held
         return held[1]
 

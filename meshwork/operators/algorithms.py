@@ -1,7 +1,7 @@
 """Graph algorithms over edges (src, dst[, weight]) and vertices (id), as rounds of joins and aggregations.
 
 Unless `directed` is set a graph is undirected. Parallel edges and self-loops count once or not at all, as each algorithm
-says. State is checkpointed every round, so a lost executor costs no more than the round.
+says. State is written every round, so a lost executor costs no more than the round.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.plans.lineage import settled
+from meshwork.plans.lineage import written as settled
 
 inf = float("inf")
 

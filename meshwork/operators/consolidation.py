@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshwork.operators import algorithms
-from meshwork.plans.lineage import settled
+from meshwork.plans.lineage import written as settled
 
 
 @dataclass(frozen=True)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshwork.functions import text_search, vectors
+from meshwork.plans.lineage import partition_places, partition_starts, written
 
 METRICS: dict[str, tuple[Callable[[Column, Column], Column], bool]] = {
     "cosine": (vectors.FUNCTIONS["cosine_similarity"], True),
@@ -69,8 +69,11 @@ def vector_top(df: DataFrame, key: str, column: str, query: list[float], k: int,
 
 
 def ranked(df: DataFrame, key: str = "id", score: str = "score") -> DataFrame:
-    """(id, rank) from 1, best first. Ranks are taken within ranges of scores, so no task holds the whole list."""
-    return df.select(F.col(key).alias("id"), F.row_number().over(W.orderBy(F.desc(score), key)).alias("rank"))
+    """(id, rank) from 1, best first. The list is range-partitioned; a row's rank is its place in its range plus the sizes
+    of the ranges before, so no task holds the whole list."""
+    best = df.select(F.col(key).alias("id"), F.col(score).alias("_s")).orderBy(F.desc("_s"), "id")
+    placed = written(best.select("id", *partition_places()))
+    return placed.join(F.broadcast(partition_starts(placed)), "_part").select("id", (F.col("_start") + F.col("_place") + 1).alias("rank"))
 
 
 def fuse(lists: list[DataFrame], weights: list[float] | None = None, k: float = 60.0, limit: int | None = None) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,15 +15,23 @@ class CatalogError(ValueError):
     """A name that is unknown or taken, or a change that the schema forbids."""
 
 
+def opened(held: DataFrame | Callable[[], DataFrame]) -> DataFrame:
+    return held() if callable(held) else held
+
+
 @dataclass(frozen=True)
 class NodeTable:
     """Rows of one label, told apart by the column `key`."""
 
     name: str
     key: str
-    df: DataFrame
+    held: DataFrame | Callable[[], DataFrame]
     serial: str | None = None
 
+    @cached_property
+    def df(self) -> DataFrame:
+        return opened(self.held)
+
     @property
     def columns(self) -> list[str]:
         return self.df.columns
@@ -34,7 +44,11 @@ class RelTable:
     name: str
     source: str
     target: str
-    df: DataFrame
+    held: DataFrame | Callable[[], DataFrame]
+
+    @cached_property
+    def df(self) -> DataFrame:
+        return opened(self.held)
 
     @property
     def columns(self) -> list[str]:
@@ -97,16 +111,16 @@ class Catalog:
         (self.nodes if isinstance(table, NodeTable) else self.rels)[table.name] = table
         self.version += 1
 
-    def add_node(self, name: str, key: str, df: DataFrame) -> None:
-        if key not in df.columns:
+    def add_node(self, name: str, key: str, df: DataFrame | Callable[[], DataFrame]) -> None:
+        if not callable(df) and key not in df.columns:
             raise CatalogError(f"{name} has no column {key}")
         self.put(NodeTable(name, key, df))
 
-    def add_rel(self, name: str, source: str, target: str, df: DataFrame) -> None:
+    def add_rel(self, name: str, source: str, target: str, df: DataFrame | Callable[[], DataFrame]) -> None:
         for label in (source, target):
             if label not in self.nodes:
                 raise CatalogError(f"no node table {label}")
-        if not {"_src", "_dst"} <= set(df.columns):
+        if not callable(df) and not {"_src", "_dst"} <= set(df.columns):
             raise CatalogError(f"{name} needs _src and _dst")
         self.put(RelTable(name, source, target, df))
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from itertools import count
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meshwork.plans.lineage import settled
+from meshwork.plans.lineage import written as settled
 
 #: Hops of an unbounded pattern.
 MOST_HOPS = 30
@@ -17,10 +18,16 @@ COUNTED = 100
 LAZY = 3
 
 
-def oriented(edges: DataFrame, direction: str) -> DataFrame:
-    """Edges as (s, d, e), e naming the edge; `both` takes either way, so a self-loop counts twice."""
-    props = [F.col(c) for c in edges.columns if c not in ("_src", "_dst")]
-    name = F.xxhash64("_src", "_dst", *[p.cast("string") for p in props])
+def oriented(edges: DataFrame, direction: str, apart: bool = False) -> DataFrame:
+    """Edges as (s, d, e), e naming the edge; `both` takes either way, so a self-loop counts twice.
+
+    With `apart`, equal parallel edges get names of their own, which costs a shuffle; only trails need it.
+    """
+    props = [F.col(c).cast("string") for c in edges.columns if c not in ("_src", "_dst")]
+    if apart:
+        edges = edges.withColumn("_nth", F.row_number().over(W.partitionBy("_src", "_dst", *props).orderBy(F.lit(0))))
+        props = [*props, F.col("_nth")]
+    name = F.xxhash64("_src", "_dst", *props)
     out = edges.select(F.col("_src").alias("s"), F.col("_dst").alias("d"), name.alias("e"))
     back = edges.select(F.col("_dst").alias("s"), F.col("_src").alias("d"), name.alias("e"))
     return {"out": out, "in": back}.get(direction) if direction != "both" else out.unionByName(back)

@@ -427,7 +427,7 @@ class Lowering:
         edges = table.df
         for k, v in e.props:
             edges = edges.filter(F.col(k) == self.column(Scope(edges), v))
-        edges = traverse.oriented(edges, rel[1])
+        edges = traverse.oriented(edges, rel[1], apart=e.mode == "trail")
         sources = scope.df.select(F.col(a.id).alias("id"))
         found = traverse.reach(sources, edges, low, high) if e.mode == "reach" else traverse.walks(sources, edges, low, traverse.MOST_HOPS if high is None else high, e.mode)
         tag = next(_fresh)

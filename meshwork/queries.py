@@ -26,23 +26,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Engine:
-    """An engine over the tables. Nothing is read before a query asks for it, but for the schemas."""
+    """An engine over the tables, each of which is opened when a query first uses it."""
     g = Engine(spark)
     for label, (name, key) in KEYS.items():
-        g.node_table(label, key, table(spark, sf_dir, name))
+        g.node_table(label, key, lambda name=name: table(spark, sf_dir, name))
     node = lambda label: g.catalog.nodes[label].df
-    line = table(spark, sf_dir, "lineitem")
+    line = lambda: table(spark, sf_dir, "lineitem")
     ends = lambda df, a, b, *more: df.select(F.col(a).alias("_src"), F.col(b).alias("_dst"), *more)
-    g.rel_table("IN_REGION", "Nation", "Region", ends(node("Nation"), "n_nationkey", "n_regionkey"))
-    g.rel_table("LIVES_IN", "Customer", "Nation", ends(node("Customer"), "c_custkey", "c_nationkey"))
-    g.rel_table("BASED_IN", "Supplier", "Nation", ends(node("Supplier"), "s_suppkey", "s_nationkey"))
-    g.rel_table("PLACED", "Customer", "Orders", ends(node("Orders"), "o_custkey", "o_orderkey"))
-    g.rel_table("CONTAINS", "Orders", "Part", ends(line, "l_orderkey", "l_partkey", F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), F.col("l_returnflag").alias("flag"), F.col("l_shipdate").alias("shipped")))
-    g.rel_table("SUPPLIED", "Supplier", "Part", ends(line, "l_suppkey", "l_partkey").distinct())
+    g.rel_table("IN_REGION", "Nation", "Region", lambda: ends(node("Nation"), "n_nationkey", "n_regionkey"))
+    g.rel_table("LIVES_IN", "Customer", "Nation", lambda: ends(node("Customer"), "c_custkey", "c_nationkey"))
+    g.rel_table("BASED_IN", "Supplier", "Nation", lambda: ends(node("Supplier"), "s_suppkey", "s_nationkey"))
+    g.rel_table("PLACED", "Customer", "Orders", lambda: ends(node("Orders"), "o_custkey", "o_orderkey"))
+    g.rel_table("CONTAINS", "Orders", "Part", lambda: ends(line(), "l_orderkey", "l_partkey", F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), F.col("l_returnflag").alias("flag"), F.col("l_shipdate").alias("shipped")))
+    g.rel_table("SUPPLIED", "Supplier", "Part", lambda: ends(line(), "l_suppkey", "l_partkey").distinct())
     after = F.lead("event_id").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    g.rel_table("NEXT", "Event", "Event", ends(node("Event").withColumn("_n", after).filter("_n is not null"), "event_id", "_n"))
-    nation = node("Nation")
-    g.rel_table("DEPENDS", "Nation", "Nation", nation.select(F.col("n_nationkey").alias("_src"), F.explode(F.array((F.col("n_nationkey") * 2 + 1) % 25, (F.col("n_nationkey") * 3) % 25)).alias("_dst")).withColumn("weight", (1 + (F.col("_src") + F.col("_dst")) % 4).cast("double")))
+    g.rel_table("NEXT", "Event", "Event", lambda: ends(node("Event").withColumn("_n", after).filter("_n is not null"), "event_id", "_n"))
+    key = F.col("n_nationkey")
+    g.rel_table("DEPENDS", "Nation", "Nation", lambda: node("Nation").select(key.alias("_src"), F.explode(F.array((key * 2 + 1) % 25, (key * 3) % 25)).alias("_dst")).withColumn("weight", (1 + (F.col("_src") + F.col("_dst")) % 4).cast("double")))
     return g
 
 
