@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshwork.engine import Engine
-from meshwork.operators import algorithms, search, traverse
+from meshwork.operators import algorithms, consolidation, search, traverse
 from meshwork.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,12 +118,13 @@ add("path_functions", "MATCH (a:Nation {n_nationkey: 1})-[p:DEPENDS*1..4]->(b:Na
 
 def path_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graph(spark, sf_dir)
-    edges = traverse.oriented(g.catalog.rels["IN_REGION"].df, "out")
-    paths = traverse.reach(g.catalog.nodes["Nation"].df.select(F.col("n_nationkey").alias("id")), edges, 0, 0)
-    return traverse.probe_properties(paths, g.catalog.nodes["Nation"].df, "n_nationkey", ["n_name"]).select("src", F.col("properties")[0]["n_name"].alias("name"))
+    edges = traverse.oriented(g.catalog.rels["DEPENDS"].df, "out")
+    nations = g.catalog.nodes["Nation"].df
+    paths = traverse.reach(nations.select(F.col("n_nationkey").alias("id")), edges, 1, 3)
+    return traverse.probe_properties(paths, nations, "n_nationkey", ["n_name"]).select("src", "dst", F.array_join(F.col("properties.n_name"), ">").alias("names"))
 
 
-add("path_property_probe", path_properties, "SELECT n_nationkey AS src, n_name AS name FROM nation")
+add("path_property_probe", path_properties, f"WITH RECURSIVE {DEPENDS}, w AS (SELECT n_nationkey AS a, n_nationkey AS b, 0 AS k, [n_nationkey] AS p FROM nation UNION ALL SELECT a, d, k + 1, list_append(p, d) FROM w JOIN dep ON b = s WHERE k < 3), m AS (SELECT a, b, min(k) AS k FROM w GROUP BY a, b), least AS (SELECT a, b, min(p) AS p FROM w JOIN m USING (a, b, k) WHERE k > 0 GROUP BY a, b), u AS (SELECT a, b, unnest(p) AS id, unnest(range(len(p))) AS i FROM least) SELECT a AS src, b AS dst, string_agg(n_name, '>' ORDER BY i) AS names FROM u JOIN nation ON n_nationkey = id GROUP BY a, b")
 add("packed_extend", lambda spark, sf_dir: traverse.packed(graph(spark, sf_dir).catalog.rels["LIVES_IN"].df, "in"), "SELECT c_nationkey AS id, list_sort(list(c_custkey)) AS neighbours FROM customer GROUP BY 1")
 
 # ---- aggregation, sorting, sets
@@ -171,7 +172,7 @@ add("functions_text", "MATCH (p:Part) RETURN p.p_partkey AS k, size(tokenize(p.p
 add("page_rank", lambda spark, sf_dir: algorithms.page_rank(bought_with(spark, sf_dir)))
 add("weakly_connected_components", lambda spark, sf_dir: algorithms.connected_components(*_events(spark, sf_dir)), "SELECT event_id AS node_id, min(event_id) OVER (PARTITION BY user_id) AS component_id FROM events")
 add("strongly_connected_components", lambda spark, sf_dir: algorithms.strong_components(*depends(spark, sf_dir)), f"WITH RECURSIVE {DEPENDS}, r AS (SELECT n_nationkey AS s, n_nationkey AS d FROM nation UNION SELECT r.s, dep.d FROM r JOIN dep ON r.d = dep.s) SELECT a.s AS node_id, min(a.d) AS component_id FROM r a JOIN r b ON a.s = b.d AND a.d = b.s GROUP BY a.s")
-add("k_core", lambda spark, sf_dir: algorithms.k_core(*depends(spark, sf_dir)))
+add("k_core", lambda spark, sf_dir: algorithms.k_core(*depends(spark, sf_dir)), f"WITH RECURSIVE {UNDIRECTED}, w(i, node, k) AS (SELECT 0, n_nationkey, 0 FROM nation UNION ALL SELECT i + 1, node, CASE WHEN least_deg <= k THEN k ELSE k + 1 END FROM (SELECT i, node, k, deg, min(deg) OVER () AS least_deg FROM (SELECT a.i, a.node, a.k, count(b.node) AS deg FROM w a LEFT JOIN und ON und.s = a.node LEFT JOIN w b ON b.node = und.d GROUP BY a.i, a.node, a.k)) WHERE deg > k OR least_deg > k) SELECT node AS node_id, CAST(max(k) AS BIGINT) AS core_number FROM w GROUP BY node")
 add("triangle_count", lambda spark, sf_dir: algorithms.triangles(bought_with(spark, sf_dir)), f"WITH {BOUGHT}, t AS (SELECT x.a AS a, x.b AS b, y.b AS c FROM und x JOIN und y ON x.b = y.a JOIN und z ON z.a = x.a AND z.b = y.b WHERE x.a < x.b AND x.b < y.b), n AS (SELECT unnest([a, b, c]) AS i FROM t), c AS (SELECT i, count(*) AS k FROM n GROUP BY i) SELECT p AS node_id, coalesce(k, 0) AS triangles FROM (SELECT DISTINCT a AS p FROM und) LEFT JOIN c ON i = p")
 add("degree_centrality", lambda spark, sf_dir: algorithms.degrees(bought_with(spark, sf_dir)), f"WITH {BOUGHT} SELECT a AS node_id, count(*) AS degree FROM und GROUP BY a")
 add("closeness_centrality", lambda spark, sf_dir: _rounded(algorithms.closeness(*depends(spark, sf_dir)), "centrality"), f"WITH RECURSIVE {DISTANCES}, c AS (SELECT s, count(*) AS r, sum(k) AS t FROM dist WHERE k > 0 GROUP BY s) SELECT n_nationkey AS node_id, round(coalesce((r / 24.0) * (r / 24.0) * r / t, 0), 6) AS centrality FROM nation LEFT JOIN c ON s = n_nationkey")
@@ -179,13 +180,34 @@ add("betweenness_centrality", lambda spark, sf_dir: _rounded(algorithms.betweenn
 add("all_sp_destinations", lambda spark, sf_dir: algorithms.reachable_counts(*depends(spark, sf_dir)), f"WITH RECURSIVE {DISTANCES} SELECT s AS node_id, count(*) - 1 AS reachable FROM dist GROUP BY s")
 add("shortest_path", lambda spark, sf_dir: algorithms.shortest_path(depends(spark, sf_dir)[0], 1), f"WITH RECURSIVE {DISTANCES} SELECT s AS src, d AS dst, CAST(k AS BIGINT) AS distance FROM dist WHERE s = 1")
 add("weighted_shortest_path", lambda spark, sf_dir: algorithms.weighted_shortest_path(depends(spark, sf_dir)[0], 1, directed=True), f"WITH RECURSIVE {DEPENDS}, w AS (SELECT 1 AS d, CAST(0 AS DOUBLE) AS c UNION SELECT dep.d, c + 1 + (s + dep.d) % 4 FROM w JOIN dep ON w.d = s WHERE c < 40) SELECT 1 AS src, d AS dst, min(c) AS cost FROM w GROUP BY d")
-add("label_propagation", lambda spark, sf_dir: algorithms.label_propagation(*depends(spark, sf_dir)))
-add("spanning_forest", lambda spark, sf_dir: algorithms.spanning_forest(*depends(spark, sf_dir)))
-add("spread_activation", lambda spark, sf_dir: _rounded(algorithms.spread_activation(depends(spark, sf_dir)[0], [1, 7]), "activation"))
+add("label_propagation", lambda spark, sf_dir: algorithms.label_propagation(*depends(spark, sf_dir)), f"WITH RECURSIVE {UNDIRECTED}, w(i, node, label) AS (SELECT 0, n_nationkey, n_nationkey FROM nation UNION ALL SELECT i + 1, node, label FROM (SELECT i, node, label, row_number() OVER (PARTITION BY node ORDER BY n DESC, label DESC) AS r FROM (SELECT w.i, und.s AS node, w.label, count(*) AS n FROM w JOIN und ON und.d = w.node WHERE w.i < 10 GROUP BY w.i, und.s, w.label)) WHERE r = 1) SELECT n_nationkey AS node_id, coalesce((SELECT label FROM w WHERE i = 10 AND node = n_nationkey), n_nationkey) AS label FROM nation")
+add("spanning_forest", lambda spark, sf_dir: algorithms.spanning_forest(*depends(spark, sf_dir)), f"WITH RECURSIVE {DISTANCES}, root AS (SELECT s, min(d) AS r FROM dist GROUP BY s), place AS (SELECT root.s AS node, r, k FROM root JOIN dist ON dist.s = root.s AND dist.d = r) SELECT a.node AS node_id, coalesce(min(b.node), a.node) AS parent_id FROM place a LEFT JOIN (und JOIN place b ON b.node = und.s) ON und.d = a.node AND b.k = a.k - 1 GROUP BY a.node")
+_HOP = "h{k} AS (SELECT seed, d AS n, sum(a * w * 0.5) AS a FROM h{j} JOIN e ON n = s WHERE (seed, d) NOT IN (SELECT (seed, n) FROM ({seen})) GROUP BY seed, d HAVING sum(a * w * 0.5) >= 0.01)"
+_SEEN = ["SELECT seed, n FROM h0", "SELECT seed, n FROM h0 UNION ALL SELECT seed, n FROM h1", "SELECT seed, n FROM h0 UNION ALL SELECT seed, n FROM h1 UNION ALL SELECT seed, n FROM h2"]
+add("spread_activation", lambda spark, sf_dir: _rounded(algorithms.spread_activation(depends(spark, sf_dir)[0], [1, 7]), "activation"), f"WITH {UNDIRECTED}, e AS (SELECT s, d, CAST(1 + (s + d) % 4 AS DOUBLE) AS w FROM und), h0(seed, n, a) AS (VALUES (1, 1, 1.0), (7, 7, 1.0)), " + ", ".join(_HOP.format(k=k + 1, j=k, seen=_SEEN[k]) for k in range(3)) + ", every AS (" + " UNION ALL ".join(f"SELECT n, CAST(a AS DOUBLE) AS a, {k} AS hop FROM h{k}" for k in range(4)) + ") SELECT n AS node_id, round(sum(a), 6) AS activation, min(hop) AS hop FROM every GROUP BY n")
 add("batch_spread_activation", lambda spark, sf_dir: _rounded(algorithms.batch_spread(*_weights(spark, sf_dir), most=5), "activation"))
 add("random_walk", lambda spark, sf_dir: algorithms.random_walk(*depends(spark, sf_dir)))
 add("node2vec", lambda spark, sf_dir: algorithms.node2vec(*depends(spark, sf_dir)))
-add("call_algorithm", "CALL project_graph('g', ['Nation'], ['DEPENDS']) RETURN message AS message")
+
+
+def called(call: str) -> Query:
+    """CALL of an algorithm on a projected graph."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g = graph(spark, sf_dir)
+        g.cypher("CALL project_graph('g', ['Nation'], ['DEPENDS']) RETURN message AS message")
+        g.cypher("USE GRAPH g")
+        return g.cypher(call)
+
+    return run
+
+
+_COMPONENTS = f"WITH RECURSIVE {DISTANCES} SELECT s AS node_id, min(d) AS component_id FROM dist GROUP BY s"
+add("call_algorithm", called("CALL weakly_connected_components() RETURN node_id AS node_id, component_id AS component_id"), _COMPONENTS)
+add("call_degrees", called("CALL degree_centrality() RETURN node_id AS node_id, degree AS degree"), f"WITH {UNDIRECTED} SELECT s AS node_id, count(*) AS degree FROM und GROUP BY s")
+add("call_shortest_path", called("CALL shortest_path(1) RETURN dst AS dst, distance AS distance"), f"WITH RECURSIVE {DISTANCES} SELECT d AS dst, CAST(k AS BIGINT) AS distance FROM dist WHERE s = 1")
+add("louvain", called("CALL louvain() RETURN node_id AS node_id, community_id AS community_id, modularity AS modularity"))
+add("consolidation_cycle", lambda spark, sf_dir: consolidation.cycle(*_weights(spark, sf_dir)).report)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -234,18 +256,18 @@ def rank_lists(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
 _TERMS = "w AS (SELECT p_partkey AS d, unnest(regexp_extract_all(lower(p_type), '[a-z0-9]+(''[a-z]+)?')) AS t FROM part), post AS (SELECT d, t, count(*) AS tf FROM w GROUP BY d, t), df AS (SELECT t, count(*) AS df FROM post GROUP BY t), len AS (SELECT d, sum(tf) AS l FROM post GROUP BY d), st AS (SELECT count(*) AS n, avg(l) AS a FROM len)"
 _RANKS = "a AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r FROM part), b AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS r FROM part)"
-add("fts_scan", fts_query)
+add("fts_scan", fts_query, "SELECT p_partkey AS k, p_name AS name FROM part WHERE regexp_matches(p_name, '(^|[^a-z])(red|ring)($|[^a-z])')")
 add("bm25", lambda spark, sf_dir: _rounded(search.bm25(part_index(spark, sf_dir), "economy standard", stemmed=False), "score"), f"WITH {_TERMS} SELECT d AS doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5)), 6) AS score FROM post JOIN df USING (t), st WHERE t IN ('economy', 'standard') GROUP BY d")
 add("bm25_length", lambda spark, sf_dir: _rounded(search.bm25(part_index(spark, sf_dir), "economy standard", b=0.75, stemmed=False), "score"), f"WITH {_TERMS} SELECT d AS doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / a))), 6) AS score FROM post JOIN df USING (t) JOIN len USING (d), st WHERE t IN ('economy', 'standard') GROUP BY d")
 add("tf_idf", lambda spark, sf_dir: _rounded(search.tf_idf(part_index(spark, sf_dir)), "score"), f"WITH {_TERMS} SELECT d AS doc_id, t AS term, round(tf * ln(n / df), 6) AS score FROM post JOIN df USING (t), st")
 add("vector_cosine", vector_search("cosine"), vector_sql("list_dot_product(v, q) / sqrt(list_dot_product(v, v) * list_dot_product(q, q))", "DESC"))
 add("vector_euclidean", vector_search("euclidean"), vector_sql("list_distance(v, q)", "ASC"))
 add("vector_dot", vector_search("dot"), vector_sql("list_dot_product(v, q)", "DESC"))
-add("vector_scan_call", "CALL vector_similarity_scan('Embedding', 'embedding', $q, 5) RETURN id AS id", None, q=[1.0 if i % 3 else -0.5 for i in range(64)])
+add("vector_scan_call", "CALL vector_similarity_scan('Embedding', 'embedding', $q, 5) RETURN id AS id", "SELECT id FROM (" + vector_sql("list_dot_product(v, q) / sqrt(list_dot_product(v, v) * list_dot_product(q, q))", "DESC") + ") LIMIT 5", q=[1.0 if i % 3 else -0.5 for i in range(64)])
 add("rrf_fuse", lambda spark, sf_dir: _rounded(search.fuse(rank_lists(spark, sf_dir)), "score"), f"WITH {_RANKS} SELECT id, round(1 / (60.0 + a.r) + 1 / (60.0 + b.r), 6) AS score FROM a JOIN b USING (id)")
 add("weighted_rrf_fuse", lambda spark, sf_dir: _rounded(search.fuse(rank_lists(spark, sf_dir), [2.0, 0.5]), "score"), f"WITH {_RANKS} SELECT id, round(2 / (60.0 + a.r) + 0.5 / (60.0 + b.r), 6) AS score FROM a JOIN b USING (id)")
 add("hybrid_search", lambda spark, sf_dir: _rounded(search.hybrid(search.vector_top(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", query_vector(spark, sf_dir), 50), search.bm25(search.postings(table(spark, sf_dir, "documents"), "doc_id", "text"), "under license").select(F.col("doc_id").alias("id"), "score")), "score"))
-add("multi_perspective", lambda spark, sf_dir: _rounded(search.multi_perspective([search.bm25(part_index(spark, sf_dir), q, stemmed=False).select(F.col("doc_id").alias("id"), F.round("score", 9).alias("score")) for q in ("economy", "standard")]), "score"))
+add("multi_perspective", lambda spark, sf_dir: _rounded(search.multi_perspective([search.bm25(part_index(spark, sf_dir), q, stemmed=False).select(F.col("doc_id").alias("id"), F.round("score", 9).alias("score")) for q in ("economy", "standard")]), "score"), f"WITH {_TERMS}, hit AS (SELECT t AS q, d AS id, round(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5), 9) AS x FROM post JOIN df USING (t), st WHERE t IN ('economy', 'standard')), r AS (SELECT id, row_number() OVER (PARTITION BY q ORDER BY x DESC, id) AS r FROM hit) SELECT id, round(sum(1 / (60.0 + r)), 6) AS score FROM r GROUP BY id ORDER BY sum(1 / (60.0 + r)) DESC, id LIMIT 10")
 add("rerank", lambda spark, sf_dir: _rounded(search.rerank(table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 50.0).alias("similarity"), F.col("p_size").alias("age_days"), (F.col("p_partkey") % 100).alias("uses"), (F.col("p_size") / 100.0).alias("graph_score"))).select("p_partkey", "score"), "score"), "SELECT p_partkey, round(0.6 * (p_size / 50.0 + 1) / 2 + 0.15 * exp(-0.01 * p_size) + 0.1 * ln(p_partkey % 100 + 1) / ln(1000) + 0.15 * least(greatest(p_size / 100.0, 0), 1), 6) AS score FROM part")
 
 # ---- updates, each on an engine of its own
@@ -274,6 +296,19 @@ add("sequence_macro", updates("CREATE SEQUENCE s START 5 INCREMENT 2", "CREATE M
 add("serial", updates("CREATE NODE TABLE Tick(id SERIAL, name STRING, PRIMARY KEY (id))", "MATCH (r:Region) CREATE (:Tick {name: r.r_name})", then="MATCH (t:Tick) RETURN t.name AS name"), "SELECT r_name AS name FROM region")
 
 
+# ---- functions that no query above calls
+
+add("functions_math_more", "MATCH (p:Part) RETURN p.p_partkey AS k, ceiling(p.p_retailprice) AS c, pow(p.p_size, 3) AS p, ROUND(log(p.p_size), 6) AS l, ROUND(cot(p.p_size), 4) AS ct, ROUND(asin(p.p_size / 50.0), 6) AS a, ROUND(acos(p.p_size / 50.0), 6) AS ac, ROUND(sinh(p.p_size / 50.0), 6) AS sh, ROUND(cosh(p.p_size / 50.0), 6) AS ch, rand() < 1 AS r", "SELECT p_partkey AS k, ceil(p_retailprice) AS c, pow(p_size, 3) AS p, round(ln(p_size), 6) AS l, round(cot(p_size), 4) AS ct, round(asin(p_size / 50.0), 6) AS a, round(acos(p_size / 50.0), 6) AS ac, round(sinh(p_size / 50.0), 6) AS sh, round(cosh(p_size / 50.0), 6) AS ch, true AS r FROM part")
+add("functions_string_more", "MATCH (p:Part) RETURN p.p_partkey AS k, concat(p.p_name, '-', p.p_brand) AS c, contains(p.p_type, 'E') AS ct, prefix(p.p_name, 'p') AS pf, ends_with(p.p_brand, '3') AS e, suffix(p.p_brand, '1') AS sf, to_upper(p.p_name) AS u, ucase(p.p_brand) AS uc, to_lower(p.p_type) AS l, lcase(p.p_brand) AS lc, ltrim('  ' + p.p_name) AS lt, rtrim(p.p_name + '  ') AS rt, head(p.p_name, 2) AS h, tail(p.p_name, 2) AS t, array_extract(p.p_name, 2) AS ax, soundex('Robert') AS sx, hash(p.p_name) = hash(p.p_name) AS hs", "SELECT p_partkey AS k, p_name || '-' || p_brand AS c, contains(p_type, 'E') AS ct, starts_with(p_name, 'p') AS pf, p_brand LIKE '%3' AS e, p_brand LIKE '%1' AS sf, upper(p_name) AS u, upper(p_brand) AS uc, lower(p_type) AS l, lower(p_brand) AS lc, p_name AS lt, p_name AS rt, left(p_name, 2) AS h, right(p_name, 2) AS t, substring(p_name, 2, 1) AS ax, 'R163' AS sx, true AS hs FROM part")
+add("functions_date_more", "MATCH (e:Event) RETURN e.event_id AS k, hour(e.ts) AS h, minute(e.ts) AS m, second(e.ts) AS s, make_date(year(e.ts), month(e.ts), 1) AS d, to_timestamp(86400) AS t, e.ts + to_years(1) AS y, e.ts + to_minutes(5) AS mi, e.ts + to_milliseconds(1500) AS ms, e.ts + to_microseconds(250) AS us, current_date() >= make_date(2020, 1, 1) AS cd, current_timestamp() IS NOT NULL AS ct", "SELECT event_id AS k, hour(ts) AS h, minute(ts) AS m, second(ts) AS s, make_date(year(ts), month(ts), 1) AS d, TIMESTAMP '1970-01-02 00:00:00' AS t, ts + INTERVAL 1 YEAR AS y, ts + INTERVAL 5 MINUTE AS mi, ts + INTERVAL 1500 MILLISECOND AS ms, ts + INTERVAL 250 MICROSECOND AS us, true AS cd, true AS ct FROM events")
+add("functions_cast_more", "MATCH (p:Part) RETURN p.p_partkey AS k, cast_string(p.p_size) AS cs, string(p.p_size) AS s, cast_int64(p.p_retailprice) AS ci, int('12') AS i, cast_double(p.p_size) AS cd, float(p.p_size) AS f, cast_bool('true') AS cb, boolean('no') AS b, timestamp('2024-02-29 10:11:12') AS t, octet_length(blob(p.p_name)) AS bl, octet_length(blob_from_bytes(p.p_brand)) AS bb", "SELECT p_partkey AS k, CAST(p_size AS VARCHAR) AS cs, CAST(p_size AS VARCHAR) AS s, CAST(trunc(p_retailprice) AS BIGINT) AS ci, CAST(12 AS BIGINT) AS i, CAST(p_size AS DOUBLE) AS cd, CAST(p_size AS DOUBLE) AS f, true AS cb, false AS b, TIMESTAMP '2024-02-29 10:11:12' AS t, CAST(strlen(p_name) AS INT) AS bl, CAST(strlen(p_brand) AS INT) AS bb FROM part")
+add("functions_list_more", "MATCH (p:Part) WITH p.p_partkey AS k, p.p_size AS z, [p.p_size, 3, 9] AS l RETURN k AS k, list_creation(z, 1) AS c, list_cat(l, [1]) AS ct, array_concat(l, [2]) AS ac, array_cat(l, [4]) AS at, array_contains(l, 3) AS co, array_has(l, 9) AS ha, array_append(l, 5) AS ap, array_push_back(l, 6) AS pb, list_prepend(l, 7) AS pp, array_prepend(l, 8) AS aq, array_push_front(l, 1) AS pf, array_slice(l, 1, 2) AS sl, list_indexof(l, 9) AS ix, list_min(l) AS mn, list_reverse_sort(l) AS rs", "SELECT p_partkey AS k, [p_size, 1] AS c, [p_size, 3, 9, 1] AS ct, [p_size, 3, 9, 2] AS ac, [p_size, 3, 9, 4] AS at, true AS co, true AS ha, [p_size, 3, 9, 5] AS ap, [p_size, 3, 9, 6] AS pb, [7, p_size, 3, 9] AS pp, [8, p_size, 3, 9] AS aq, [1, p_size, 3, 9] AS pf, [p_size, 3] AS sl, CAST(list_position([p_size, 3, 9], 9) AS BIGINT) AS ix, least(p_size, 3, 9) AS mn, list_reverse_sort([p_size, 3, 9]) AS rs FROM part")
+add("functions_vector_more", "MATCH (p:Part) WITH p.p_partkey AS k, p.p_size * 1.0 AS z RETURN k AS k, array_dot_product([z, 2.0], [3.0, z]) AS d, array_cross_product([z, 1.0, 2.0], [3.0, 4.0, z]) AS c, array_squared_distance([z, 1.0], [0.0, 3.0]) AS s, list_sort(array_intersect([z, 2.0], [2.0])) AS i, ROUND(cosine_similarity([z, 1.0], [1.0, 1.0]), 6) AS cs, ROUND(euclidean_distance([z, 1.0], [0.0, 0.0]), 6) AS e, dot_product([z, 1.0], [2.0, 3.0]) AS dp, ROUND(l2_distance([z, 1.0], [0.0, 0.0]), 6) AS l2", "SELECT k, 5 * z AS d, [z - 8.0, 6.0 - z * z, 4.0 * z - 3.0] AS c, z * z + 4 AS s, [2.0::DOUBLE] AS i, round((z + 1) / sqrt((z * z + 1) * 2), 6) AS cs, round(sqrt(z * z + 1), 6) AS e, 2 * z + 3 AS dp, z * z + 1 AS l2 FROM (SELECT p_partkey AS k, CAST(p_size AS DOUBLE) AS z FROM part)")
+add("functions_map_more", "MATCH (n:Nation) WITH n.n_name AS name, map_creation(['a', 'b'], [n.n_nationkey, 1]) AS m, struct_creation('x', n.n_regionkey) AS s RETURN name AS name, element_at(m, 'a') AS a, cardinality(m) AS c", "SELECT n_name AS name, n_nationkey AS a, CAST(2 AS BIGINT) AS c FROM nation")
+add("functions_path_more", "MATCH (a:Nation {n_nationkey: 1})-[p:DEPENDS*1..2]->(b:Nation) RETURN b.n_nationkey AS b, size(relationships(p)) AS n", f"WITH RECURSIVE {DEPENDS}, w AS (SELECT 1 AS b, 0 AS k UNION SELECT d, k + 1 FROM w JOIN dep ON b = s WHERE k < 2) SELECT b, CAST(min(k) AS BIGINT) AS n FROM w GROUP BY b HAVING min(k) > 0")
+add("functions_other", updates("CREATE SEQUENCE s START 5 INCREMENT 2", "RETURN nextval('s') AS x", then="RETURN currval('s') AS c, length(gen_random_uuid()) AS u, stem('relational') AS st, size(create_embedding('a text')) > 0 AS em"), "SELECT 5 AS c, CAST(36 AS BIGINT) AS u, 'relat' AS st, true AS em")
+
+
 # ---- files
 
 
@@ -319,8 +354,12 @@ add("export_import", export_import, "SELECT n_name AS n, r_name AS r FROM nation
 
 # ---- metadata
 
-add("show_tables", "CALL show_tables() RETURN name AS name, kind AS kind")
-add("table_info", "CALL table_info('Part') RETURN `column` AS c, type AS type, nullable AS nullable")
+add("show_tables", "CALL show_tables() RETURN name AS name, kind AS kind", "SELECT * FROM (VALUES " + ", ".join(f"('{x}', 'NODE')" for x in KEYS) + ", " + ", ".join(f"('{x}', 'REL')" for x in ("IN_REGION", "LIVES_IN", "BASED_IN", "PLACED", "CONTAINS", "SUPPLIED", "NEXT", "DEPENDS")) + ") t(name, kind)")
+add("table_info", "CALL table_info('Region') RETURN `column` AS c, type AS type, nullable AS nullable", "SELECT column_name AS c, CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE lower(column_type) END AS type, CASE column_name WHEN 'r_regionkey' THEN 'NO' ELSE 'YES' END AS nullable FROM (DESCRIBE SELECT * FROM region)")
+add("show_connection", "CALL show_connection('PLACED') RETURN source AS source, target AS target", "SELECT 'Customer' AS source, 'Orders' AS target")
+add("metadata", updates("CREATE SEQUENCE s START 5 INCREMENT 2", "CREATE MACRO plus(a, b = 3) AS a + b", "CREATE ART INDEX ix FOR (p:Part) ON (p.p_size)", "CALL project_graph('g', ['Nation'], ['DEPENDS']) RETURN message AS message", then="CALL show_sequences() RETURN name AS name, 'sequence' AS kind UNION ALL CALL show_macros() RETURN name AS name, 'macro' AS kind UNION ALL CALL show_indexes() RETURN name AS name, 'index' AS kind UNION ALL CALL show_projected_graphs() RETURN name AS name, 'graph' AS kind"), "SELECT * FROM (VALUES ('s', 'sequence'), ('plus', 'macro'), ('ix', 'index'), ('g', 'graph')) t(name, kind)")
+add("stats_info", "CALL stats_info() RETURN `table` AS name, rows AS n", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{x}' AS name, count(*) AS n FROM {t}" for x, (t, _) in KEYS.items()) + " UNION ALL SELECT 'IN_REGION', count(*) FROM nation UNION ALL SELECT 'LIVES_IN', count(*) FROM customer UNION ALL SELECT 'BASED_IN', count(*) FROM supplier UNION ALL SELECT 'PLACED', count(*) FROM orders UNION ALL SELECT 'CONTAINS', count(*) FROM lineitem UNION ALL SELECT 'SUPPLIED', count(*) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) UNION ALL SELECT 'NEXT', count(*) - count(DISTINCT user_id) FROM events UNION ALL SELECT 'DEPENDS', 2 * count(*) FROM nation)")
+add("current_setting", updates("SET spill_threshold = 7", then="CALL current_setting('spill_threshold') RETURN value AS value"), "SELECT '7' AS value")
 add("show_functions", "CALL show_functions() RETURN kind AS kind, COUNT(*) AS n")
 add("explain", "EXPLAIN MATCH (c:Customer)-[:PLACED]->(o:Orders) WHERE o.o_totalprice > 1000 RETURN c.c_name AS name")
 

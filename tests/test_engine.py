@@ -96,7 +96,10 @@ def test_parser_gives_errors_of_its_own(text):
 
 
 def test_stems():
-    assert [stem_word(w) for w in ("running", "flies", "hopeful", "is", "classes")] == ["run", "fli", "hope", "is", "class"]
+    """Examples of the published description."""
+    pairs = "caresses caress ponies poni cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc digitizer digit operator oper feudalism feudal decisiveness decis hopefulness hope sensibiliti sensibl triplicate triplic formative form formalize formal electrical electr goodness good revival reviv allowance allow adjustable adjust irritant irrit replacement replac dependent depend adoption adopt communism commun activate activ effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll".split()
+    assert [stem_word(w) for w in pairs[::2]] == pairs[1::2]
+    assert [stem_word(w) for w in ("is", "", None, "don't")] == ["is", "", None, "don't"]
 
 
 def test_windows_of_a_stream_equal_those_of_the_table(spark, tmp_path):
@@ -126,3 +129,37 @@ def test_paths_of_over_100_edges(spark, name):
             assert got == {i: i * (102 - i) for i in range(103)}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
+def test_trails_tell_parallel_edges_apart(g):
+    """0 -> 1 twice, then 1 -> 2 -> 0: both edges may be on one trail, and each begins one."""
+    got = rows(g.cypher("MATCH (a:P {id: 0})-[p:K*TRAIL 1..4]->(b:P {id: 1}) RETURN length(p) AS n"))
+    assert got == [(1,), (1,), (4,), (4,)]
+
+
+def test_ranks_and_numbers_run_through(g, spark):
+    from meshwork.operators import search
+
+    df = spark.createDataFrame([(i, float(i * 7 % 50)) for i in range(200)], "id long, score double").repartition(7)
+    got = rows(search.ranked(df))
+    assert got == sorted((i, r + 1) for r, i in enumerate(sorted(range(200), key=lambda i: (-(i * 7 % 50), i))))
+    assert "SinglePartition" not in search.ranked(df)._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["no"] for r in g.numbered(df, "no", 5).collect()) == list(range(5, 205))
+
+
+def test_full_text_index_follows_updates(g):
+    g.cypher("CREATE FTS INDEX names ON (P.name)")
+    find = lambda q: rows(g.cypher(f"MATCH (a:P) USING FTS INDEX names('{q}') RETURN a.id AS id"))
+    assert find("p3") == [(3,)] and find("walking") == []
+    g.cypher("CREATE (:P {id: 20, name: 'walks of p3'})")
+    assert find("p3") == [(3,), (20,)] and find("walking") == [(20,)]
+    g.cypher("MATCH (a:P {id: 20}) SET a.name = 'sits'")
+    assert find("p3") == [(3,)]
+
+
+def test_louvain_finds_cliques(spark):
+    edges = [(a, b) for k in (0, 10) for a in range(k, k + 4) for b in range(a + 1, k + 4)] + [(3, 10)]
+    got = algorithms.louvain(spark.createDataFrame(edges, "src long, dst long")).collect()
+    assert {r["node_id"]: r["community_id"] for r in got} == {k + i: k for k in (0, 10) for i in range(4)}
+    inside, strength = 24 / 26, 13 / 26  # ends of edges within communities, and each one's share of all ends
+    assert got[0]["modularity"] == pytest.approx(inside - 2 * strength**2)
