@@ -303,7 +303,7 @@ add("functions_string_more", "MATCH (p:Part) RETURN p.p_partkey AS k, concat(p.p
 add("functions_date_more", "MATCH (e:Event) RETURN e.event_id AS k, hour(e.ts) AS h, minute(e.ts) AS m, second(e.ts) AS s, make_date(year(e.ts), month(e.ts), 1) AS d, to_timestamp(86400) AS t, e.ts + to_years(1) AS y, e.ts + to_minutes(5) AS mi, e.ts + to_milliseconds(1500) AS ms, e.ts + to_microseconds(250) AS us, current_date() >= make_date(2020, 1, 1) AS cd, current_timestamp() IS NOT NULL AS ct", "SELECT event_id AS k, hour(ts) AS h, minute(ts) AS m, second(ts) AS s, make_date(year(ts), month(ts), 1) AS d, TIMESTAMP '1970-01-02 00:00:00' AS t, ts + INTERVAL 1 YEAR AS y, ts + INTERVAL 5 MINUTE AS mi, ts + INTERVAL 1500 MILLISECOND AS ms, ts + INTERVAL 250 MICROSECOND AS us, true AS cd, true AS ct FROM events")
 add("functions_cast_more", "MATCH (p:Part) RETURN p.p_partkey AS k, cast_string(p.p_size) AS cs, string(p.p_size) AS s, cast_int64(p.p_retailprice) AS ci, int('12') AS i, cast_double(p.p_size) AS cd, float(p.p_size) AS f, cast_bool('true') AS cb, boolean('no') AS b, timestamp('2024-02-29 10:11:12') AS t, octet_length(blob(p.p_name)) AS bl, octet_length(blob_from_bytes(p.p_brand)) AS bb", "SELECT p_partkey AS k, CAST(p_size AS VARCHAR) AS cs, CAST(p_size AS VARCHAR) AS s, CAST(trunc(p_retailprice) AS BIGINT) AS ci, CAST(12 AS BIGINT) AS i, CAST(p_size AS DOUBLE) AS cd, CAST(p_size AS DOUBLE) AS f, true AS cb, false AS b, TIMESTAMP '2024-02-29 10:11:12' AS t, CAST(strlen(p_name) AS INT) AS bl, CAST(strlen(p_brand) AS INT) AS bb FROM part")
 add("functions_list_more", "MATCH (p:Part) WITH p.p_partkey AS k, p.p_size AS z, [p.p_size, 3, 9] AS l RETURN k AS k, list_creation(z, 1) AS c, list_cat(l, [1]) AS ct, array_concat(l, [2]) AS ac, array_cat(l, [4]) AS at, array_contains(l, 3) AS co, array_has(l, 9) AS ha, array_append(l, 5) AS ap, array_push_back(l, 6) AS pb, list_prepend(l, 7) AS pp, array_prepend(l, 8) AS aq, array_push_front(l, 1) AS pf, array_slice(l, 1, 2) AS sl, list_indexof(l, 9) AS ix, list_min(l) AS mn, list_reverse_sort(l) AS rs", "SELECT p_partkey AS k, [p_size, 1] AS c, [p_size, 3, 9, 1] AS ct, [p_size, 3, 9, 2] AS ac, [p_size, 3, 9, 4] AS at, true AS co, true AS ha, [p_size, 3, 9, 5] AS ap, [p_size, 3, 9, 6] AS pb, [7, p_size, 3, 9] AS pp, [8, p_size, 3, 9] AS aq, [1, p_size, 3, 9] AS pf, [p_size, 3] AS sl, CAST(list_position([p_size, 3, 9], 9) AS BIGINT) AS ix, least(p_size, 3, 9) AS mn, list_reverse_sort([p_size, 3, 9]) AS rs FROM part")
-add("functions_vector_more", "MATCH (p:Part) WITH p.p_partkey AS k, p.p_size * 1.0 AS z RETURN k AS k, array_dot_product([z, 2.0], [3.0, z]) AS d, array_cross_product([z, 1.0, 2.0], [3.0, 4.0, z]) AS c, array_squared_distance([z, 1.0], [0.0, 3.0]) AS s, list_sort(array_intersect([z, 2.0], [2.0])) AS i, ROUND(cosine_similarity([z, 1.0], [1.0, 1.0]), 6) AS cs, ROUND(euclidean_distance([z, 1.0], [0.0, 0.0]), 6) AS e, dot_product([z, 1.0], [2.0, 3.0]) AS dp, ROUND(l2_distance([z, 1.0], [0.0, 0.0]), 6) AS l2", "SELECT k, 5 * z AS d, [z - 8.0, 6.0 - z * z, 4.0 * z - 3.0] AS c, z * z + 4 AS s, [2.0::DOUBLE] AS i, round((z + 1) / sqrt((z * z + 1) * 2), 6) AS cs, round(sqrt(z * z + 1), 6) AS e, 2 * z + 3 AS dp, z * z + 1 AS l2 FROM (SELECT p_partkey AS k, CAST(p_size AS DOUBLE) AS z FROM part)")
+add("functions_vector_more", "MATCH (p:Part) WITH p.p_partkey AS k, p.p_size * 1.0 AS z RETURN k AS k, array_dot_product([z, 2.0], [3.0, z]) AS d, array_cross_product([z, 1.0, 2.0], [3.0, 4.0, z]) AS c, array_squared_distance([z, 1.0], [0.0, 3.0]) AS s, list_sort(array_intersect([z, 2.0], [2.0])) AS i, ROUND(cosine_similarity([z, 1.0], [1.0, 1.0]), 6) AS cs, ROUND(euclidean_distance([z, 1.0], [0.0, 0.0]), 6) AS e, dot_product([z, 1.0], [2.0, 3.0]) AS dp, ROUND(l2_distance([z, 1.0], [0.0, 0.0]), 6) AS l2", "SELECT k, 5 * z AS d, [z - 8.0, 6.0 - z * z, 4.0 * z - 3.0] AS c, z * z + 4 AS s, CASE WHEN z = 2 THEN [2.0::DOUBLE, 2.0] ELSE [2.0::DOUBLE] END AS i, round((z + 1) / sqrt((z * z + 1) * 2), 6) AS cs, round(sqrt(z * z + 1), 6) AS e, 2 * z + 3 AS dp, z * z + 1 AS l2 FROM (SELECT p_partkey AS k, CAST(p_size AS DOUBLE) AS z FROM part)")
 add("functions_map_more", "MATCH (n:Nation) WITH n.n_name AS name, map_creation(['a', 'b'], [n.n_nationkey, 1]) AS m, struct_creation('x', n.n_regionkey) AS s RETURN name AS name, element_at(m, 'a') AS a, cardinality(m) AS c", "SELECT n_name AS name, n_nationkey AS a, CAST(2 AS BIGINT) AS c FROM nation")
 add("functions_path_more", "MATCH (a:Nation {n_nationkey: 1})-[p:DEPENDS*1..2]->(b:Nation) RETURN b.n_nationkey AS b, size(relationships(p)) AS n", f"WITH RECURSIVE {DEPENDS}, w AS (SELECT 1 AS b, 0 AS k UNION SELECT d, k + 1 FROM w JOIN dep ON b = s WHERE k < 2) SELECT b, CAST(min(k) AS BIGINT) AS n FROM w GROUP BY b HAVING min(k) > 0")
 add("functions_other", updates("CREATE SEQUENCE s START 5 INCREMENT 2", "RETURN nextval('s') AS x", then="RETURN currval('s') AS c, length(gen_random_uuid()) AS u, stem('relational') AS st, size(create_embedding('a text')) > 0 AS em"), "SELECT 5 AS c, CAST(36 AS BIGINT) AS u, 'relat' AS st, true AS em")
