@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 PIECE = 1 << 20
 #: Jobs of fewer seconds leave their shuffle files to the next longer one.
 BRIEF = 1.0
+#: Groups, buckets and hubs of more rows are dealt to several tasks: groups in parts of HOT, the others in PARTS parts.
+HOT = 256
+PARTS = 64
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -102,6 +105,19 @@ def with_row_id(df: DataFrame, text: str = "text") -> DataFrame:
     return materialize(ordered.withColumn("_rid", F.monotonically_increasing_id()), "rows")
 
 
+def in_bucket(rows: DataFrame, key: str, buckets: DataFrame, by: str = "id") -> DataFrame:
+    """rows (key, by, ...) with their bucket's row in buckets (_k, n, ...), where there is one. As rows don't know how
+    large their bucket is, those of large ones are found first, with each of these in PARTS parts by another column."""
+    large = buckets.filter(F.col("n") > HOT)
+    if large.isEmpty():
+        return rows.join(buckets, F.col(key) == F.col("_k")).drop("_k")
+    cols = [c for c in buckets.columns if c != "_k"]
+    parts = large.select("_k", *cols, F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"))
+    x = rows.join(parts, (F.col(key) == F.col("_k")) & (F.pmod(F.xxhash64(by), F.lit(PARTS)) == F.col("_part")), "left").drop("_part")
+    rest = x.filter("_k is null").drop("_k", *cols).join(buckets.filter(F.col("n") <= HOT), F.col(key) == F.col("_k"))
+    return x.filter("_k is not null").drop("_k").unionByName(rest.drop("_k"))
+
+
 # ---- vectorised hashing ------------------------------------------------------------------------------------------
 
 _MUL = np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import Prefix, ascii_lower, materialize, mix, text_pieces, with_row_id, word_hashes
+from meshwork.llm.common import HOT, Prefix, ascii_lower, in_bucket, materialize, mix, text_pieces, with_row_id, word_hashes
 from meshwork.llm.graph import components
 
 SHINGLE = 5
@@ -50,9 +50,6 @@ SMALL = 64
 FULL = 512
 GROUPS = 6
 LEVELS = 3
-#: Groups and buckets of more rows are dealt to several tasks: groups in parts of HOT, buckets in PARTS parts.
-HOT = 256
-PARTS = 64
 #: At most so many ids (8 bytes each) are broadcast to pick texts; beyond, texts are shuffled to their ids.
 IDS = 1 << 20
 #: Of the signature's minima so many must agree before sets are compared; at 0.85 fewer agree with probability 1e-6.
@@ -148,19 +145,6 @@ def in_group(rows: DataFrame, groups: DataFrame, how: str = "inner", by: str = "
     return x.join(y, (F.col("g") == F.col("_g")) & (F.col("_salt") == F.col("_part")), how).drop("_salt", "_part")
 
 
-def in_bucket(rows: DataFrame, key: str, buckets: DataFrame) -> DataFrame:
-    """rows (id, key, ...) with their bucket's row in buckets (_k, n, ...), where there is one. As rows don't know how
-    large their bucket is, those of large ones are found first, with each of these in PARTS parts."""
-    large = buckets.filter(F.col("n") > HOT)
-    if large.isEmpty():
-        return rows.join(buckets, F.col(key) == F.col("_k")).drop("_k")
-    cols = [c for c in buckets.columns if c != "_k"]
-    parts = large.select("_k", *cols, F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"))
-    x = rows.join(parts, (F.col(key) == F.col("_k")) & (F.pmod(F.xxhash64("id"), F.lit(PARTS)) == F.col("_part")), "left").drop("_part")
-    rest = x.filter("_k is null").drop("_k", *cols).join(buckets.filter(F.col("n") <= HOT), F.col(key) == F.col("_k"))
-    return x.filter("_k is not null").drop("_k").unionByName(rest.drop("_k"))
-
-
 def bucket_pairs(keys: DataFrame) -> DataFrame:
     """Each member of a bucket with the bucket's smallest id."""
     first = keys.groupBy(F.col("key").alias("_k")).agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1")
