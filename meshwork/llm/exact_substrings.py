@@ -1,9 +1,10 @@
 """Suffix-array dedup: removes every byte that a string of `LENGTH` bytes covers which also starts earlier.
 
 Winnowing finds the segments that can hold repeats (meshwork.llm.winnow). A segment that repeats an earlier one goes as
-a whole; which do is told by 128 bits of two hashes. Distinct segments with a common anchor are put together in blocks; each block's suffixes are sorted in two
-stages and adjacent common prefixes of LENGTH bytes give the classes of equal strings, of which the earliest stays. A
-group too large for a block is cut, and the classes of its blocks are compared once more by Spark.
+a whole; which do is told by 128 bits of two hashes. Distinct segments with a common anchor are put together in blocks;
+each block's suffixes are sorted in two stages and adjacent common prefixes of LENGTH bytes give the classes of equal
+strings, of which the earliest stays. A group of over GROUP bytes is winnowed again by longer grams: its equal windows
+fall to equal anchors once more, while those that differ part, until each group fits; grams of LENGTH bytes are windows.
 
 Cases: null and empty texts have no bytes; texts shorter than LENGTH are kept whole; rows that share an id come in
 order of their text; repeated rows lose all but the first; an empty table gives an empty result.
@@ -13,21 +14,23 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import Prefix, byte_values, check_values, materialize, merge_spans, with_row_id
+from meshwork.llm.common import byte_values, check_values, materialize, merge_spans, window_segments, with_row_id
 from meshwork.llm.suffixes import common_prefixes, suffix_array, words_at
-from meshwork.llm.winnow import compared, segments, spans_by_row
+from meshwork.llm.winnow import SCHEMA, compared, segments, settle, spans_by_row
 
 LENGTH = 100
 GRAM = 32
 #: Bytes in a block whose suffixes are sorted together.
 BLOCK = 1 << 20
+#: Bytes of segments with a common anchor that stay together.
+GROUP = 1 << 18
 
 
 def _values(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -35,27 +38,50 @@ def _values(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def segment_texts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(anchor, rid, first, count, bytes) of the wanted segments."""
-    lists = wanted.groupBy("rid").agg(F.collect_list(F.struct("anchor", "first", "count")).alias("w"))
+    """(anchor, size, rid, first, count, bytes) of the wanted segments."""
+    lists = wanted.groupBy("rid").agg(F.collect_list(F.struct("anchor", "size", "first", "count")).alias("w"))
     joined = rows.join(lists, F.col("_rid") == F.col("rid")).select("rid", F.col("text").cast("string").cast("binary").alias("text"), "w")
+    arrow = pa.schema([("anchor", pa.int64()), ("size", pa.int64()), ("rid", pa.int64()), ("first", pa.int32()), ("count", pa.int32()), ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in arrow]
             for rid, text, w in zip(b.column("rid").to_pylist(), b.column("text"), b.column("w"), strict=True):
-                raw = text.as_buffer()
-                view = memoryview(raw)
+                view = memoryview(text.as_buffer())
                 for x in w.as_py():
-                    for c, v in zip(out, (x["anchor"], rid, x["first"], x["count"], bytes(view[x["first"] : x["first"] + x["count"] + length - 1])), strict=True):
+                    for c, v in zip(out, (x["anchor"], x["size"], rid, x["first"], x["count"], bytes(view[x["first"] : x["first"] + x["count"] + length - 1])), strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["anchor", "rid", "first", "count", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, arrow.types, strict=True)], schema=arrow)
 
-    return joined.mapInArrow(run, "anchor long, rid long, first int, count int, bytes binary")
+    return joined.mapInArrow(run, "anchor long, size long, rid long, first int, count int, bytes binary")
 
 
-def block_repeats(rid: np.ndarray, first: np.ndarray, count: np.ndarray, parts: list[bytes], open_: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
-    """For the segments of a block: (segment, offset) of the windows that repeat an earlier one of the block, and the
-    remaining windows of open segments, those of groups that go over several blocks, with their hashes."""
+def finer(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """The windows of segments (rid, first, bytes) as segments by grams of another size, with their bytes."""
+    arrow = pa.schema([("rid", pa.int64()), ("at", pa.int64()), ("anchor", pa.int64()), ("hash", pa.int64()), ("check", pa.int64()), ("bytes", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rid, first = (np.asarray(b.column(x)).astype(np.int64) for x in ("rid", "first"))
+            parts = b.column("bytes").to_pylist()
+            raw = b"".join(parts)
+            bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+            values, other, _ = _values(np.frombuffer(raw, np.uint8), bounds)
+            s = window_segments(values, bounds, length, gram, other)
+            start = bounds[s["doc"]] + s["first"]
+            s["rid"], s["first"] = rid[s["doc"]], first[s["doc"]] + s["first"]
+            columns, place = settle(s)
+            start, size = start[place].tolist(), (s["count"][place] + length - 1).tolist()
+            cut = [None if at & 2 else raw[a : a + n] for at, a, n in zip(columns[1].tolist(), start, size, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in columns), pa.array(cut, pa.binary())], schema=arrow)
+
+    return texts.mapInArrow(run, SCHEMA + ", bytes binary")
+
+
+def block_repeats(rid: np.ndarray, first: np.ndarray, count: np.ndarray, parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the segments of a block: (segment, offset) of the windows that repeat an earlier one of the block."""
     text = np.frombuffer(b"".join(parts), np.uint8)
     sizes = np.array([len(p) for p in parts])
     base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -76,10 +102,7 @@ def block_repeats(rid: np.ndarray, first: np.ndarray, count: np.ndarray, parts:
     again = np.zeros(len(at), bool)
     again[1:] = cls[1:] == cls[:-1]
     gone = at[again]
-    rest = at[~again]
-    rest = rest[open_[seg[rest]]]
-    names = [Prefix(v(text)).windows(length)[rest].view(np.int64) if len(rest) else np.zeros(0, np.int64) for v in (byte_values, check_values)]
-    return seg[gone], offset[gone], {"rid": rid[seg[rest]], "at": first[seg[rest]] + offset[rest], "hash": names[0], "check": names[1]}
+    return seg[gone], offset[gone]
 
 
 def runs(rid: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,60 +117,58 @@ def runs(rid: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.n
 
 
 def compare_windows(texts: DataFrame, length: int, block: int) -> DataFrame:
-    """Spans to remove among segments with common anchors: (rid, first, end, hash, check); hash not null: still open."""
-    arrow = pa.schema([("rid", pa.int64()), ("first", pa.int32()), ("end", pa.int32()), ("hash", pa.int64()), ("check", pa.int64())])
+    """(rid, first, end) to remove among segments with common anchors. Blocks hold whole groups."""
+    arrow = pa.schema([("rid", pa.int64()), ("first", pa.int32()), ("end", pa.int32())])
 
     def finish(rows: list[tuple]) -> pa.RecordBatch:
         rid, first, count = (np.array([r[i] for r in rows], np.int64) for i in range(3))
-        seg, offset, rest = block_repeats(rid, first, count, [r[3] for r in rows], np.array([r[4] for r in rows], bool), length)
-        r, a, b = runs(rid[seg], first[seg] + offset, length)
-        n = len(rest["rid"])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([r, rest["rid"]])), pa.array(np.concatenate([a, rest["at"]]), pa.int32()), pa.array(np.concatenate([b, rest["at"] + length]), pa.int32()), *(pa.concat_arrays([pa.nulls(len(r), pa.int64()), pa.array(rest[x] if n else [], pa.int64())]) for x in ("hash", "check"))], schema=arrow)
+        seg, offset = block_repeats(rid, first, count, [r[3] for r in rows], length)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(runs(rid[seg], first[seg] + offset, length), arrow.types, strict=True)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # segments of the block; those of the last group may have more to come
-        size = group = 0
+        held: list[tuple] = []
+        size = 0
         last = None
-        cut = False  # the last group has filled a block already
         for b in batches:
-            for anchor, rid, first, count, part in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if anchor != last:
-                    if size >= block // 2:
-                        yield finish(held)
-                        held, size = [], 0
-                    last, group, cut = anchor, len(held), False
-                elif size >= block:
-                    if group:  # whole groups first; what there is of this one begins the next block
-                        yield finish(held[:group])
-                        held = held[group:]
-                        size, group = sum(len(h[3]) for h in held), 0
-                    if size >= block:
-                        yield finish([(*h[:4], True) for h in held])
-                        held, size, cut = [], 0, True
-                held.append((rid, first, count, part, cut))
-                size += len(part)
+            for anchor, *row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if anchor != last and size >= block // 2:
+                    yield finish(held)
+                    held, size = [], 0
+                last = anchor
+                held.append(row)
+                size += len(row[3])
         if held:
             yield finish(held)
 
-    return texts.repartition("anchor").sortWithinPartitions("anchor", "rid", "first").mapInArrow(run, "rid long, first int, end int, hash long, check long")
+    columns = texts.select("anchor", "rid", "first", "count", "bytes")
+    return columns.repartition("anchor").sortWithinPartitions("anchor", "rid", "first").mapInArrow(run, "rid long, first int, end int")
 
 
-def removed_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
+def removed_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """(rid, first, end) of bytes to remove from rows (_rid, text); spans may overlap."""
-    segs = compared(segments(rows, _values, length, gram), "segments")
-    whole = segs.filter("again").select("rid", "first", (F.col("first") + F.col("count") + (length - 1)).alias("end"))
-    texts = segment_texts(rows, segs.filter("mixed and not again"), length)
-    found = materialize(compare_windows(texts, length, block), "windows")
-    settled = found.filter("hash is null").select("rid", "first", "end")
-    open_ = found.filter("hash is not null")
-    again = open_.withColumn("_n", F.lag("rid").over(W.partitionBy("hash", "check").orderBy("rid", "first"))).filter("_n is not null").select("rid", "first", "end")
-    return whole.unionByName(settled).unionByName(again)
-
-
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
+    large = F.col("size") > group
+    mixed = F.col("mixed") & ~F.col("again")
+    segs = compared(segments(rows, _values, length, gram), "segments", length)
+    texts = segment_texts(rows, segs.filter(mixed), length)
+    split = not segs.filter(mixed & large).isEmpty()
+    if split:
+        texts = materialize(texts, "texts")
+    spans = []
+    while True:
+        spans.append(segs.filter("again").select("rid", "first", (F.col("first") + F.col("count") + (length - 1)).alias("end")))
+        spans.append(materialize(compare_windows(texts.filter(~large) if split else texts, length, block), "windows"))
+        if not split:
+            return reduce(DataFrame.unionByName, spans)
+        gram = (gram + length + 1) // 2
+        segs = compared(finer(texts.filter(large), length, gram), "segments", length)
+        texts = segs.filter(mixed)
+        split = gram < length and not texts.filter(large).isEmpty()
+
+
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """docs' doc_id with n_bytes, n_removed, n_spans, kept_sha256 and kept, the remaining bytes."""
     rows = with_row_id(docs.select("doc_id", "text"))
-    spans = spans_by_row(removed_spans(rows, length, gram, block))
+    spans = spans_by_row(removed_spans(rows, length, gram, block, group))
     joined = rows.join(spans, F.col("_rid") == F.col("rid"), "left").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), "spans")
     arrow = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 

@@ -41,48 +41,58 @@ def batch_segments(texts: pa.Array, rids: np.ndarray, values: Values, length: in
     return {x: np.concatenate([p[x] for p in parts]) if parts else np.zeros(0, np.int64) for x in ("rid", "first", "count", "anchor", "hash", "check")}
 
 
+def settle(s: dict[str, np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """SCHEMA's columns of a batch's segments by (rid, first), those that repeat an earlier one settled, and each row's
+    place in s."""
+    n = len(s["rid"])
+    order = np.lexsort((s["first"], s["rid"], s["check"], s["hash"], s["anchor"]))
+    a, h, c = s["anchor"][order], s["hash"][order], s["check"][order]
+    again = np.zeros(n, bool)
+    again[1:] = (a[1:] == a[:-1]) & (h[1:] == h[:-1]) & (c[1:] == c[:-1])
+    copies = again.copy()
+    copies[:-1] |= again[1:]
+    rid, first, count = (s[x][order] for x in ("rid", "first", "count"))
+    packed = (first << 10) | (count << 2) | (again.astype(np.int64) << 1) | copies
+    a = np.where(again, mix(rid.astype(np.uint64) * np.uint64(31) + first.astype(np.uint64)).view(np.int64), a)
+    back = np.lexsort((first, rid))  # neighbours in the table are alike, which compresses
+    return [x[back] for x in (rid, packed, a, h, c)], order[back]
+
+
 def segments(rows: DataFrame, values: Values, length: int, k: int) -> DataFrame:
     """Segments of rows (_rid, text), those that repeat an earlier one of their batch settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rids = np.asarray(b.column("_rid"))
-            s = batch_segments(b.column("text"), rids, values, length, k)
-            n = len(s["rid"])
-            if not n:
-                continue
-            order = np.lexsort((s["first"], s["rid"], s["check"], s["hash"], s["anchor"]))
-            a, h, c = s["anchor"][order], s["hash"][order], s["check"][order]
-            again = np.zeros(n, bool)
-            again[1:] = (a[1:] == a[:-1]) & (h[1:] == h[:-1]) & (c[1:] == c[:-1])
-            copies = again.copy()
-            copies[:-1] |= again[1:]
-            rid, first, count = (s[x][order] for x in ("rid", "first", "count"))
-            packed = (first << 10) | (count << 2) | (again.astype(np.int64) << 1) | copies
-            a = np.where(again, mix(rid.astype(np.uint64) * np.uint64(31) + first.astype(np.uint64)).view(np.int64), a)
-            back = np.lexsort((first, rid))  # neighbours in the table are alike, which compresses
-            for at in range(0, n, 1 << 17):
-                z = back[at : at + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(x[z]) for x in (rid, packed, a, h, c)], schema=_arrow)
+            s = batch_segments(b.column("text"), np.asarray(b.column("_rid")), values, length, k)
+            columns, _ = settle(s)
+            for at in range(0, len(s["rid"]), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 17)]) for x in columns], schema=_arrow)
 
     return rows.select("_rid", F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
-def compared(segs: DataFrame, name: str) -> DataFrame:
+def compared(segs: DataFrame, name: str, length: int | None = None) -> DataFrame:
     """Segments that aren't alone, as a table: (rid, first, count, anchor, hash, again, copies, mixed).
 
     again: an equal segment comes earlier; copies: an equal one exists; mixed: unequal ones share the anchor. hash names
-    a segment's content. One shuffle by anchor.
+    a segment's content. With `length`, size is what the unequal segments of the anchor cover together, and bytes, if segs
+    have them, stay for these. One shuffle by anchor.
     """
     settled = F.col("at").bitwiseAND(F.lit(2)) != 0
     group = W.partitionBy("anchor")
     order = group.orderBy("hash", "check", "rid", "at")
     same = lambda f: F.coalesce((f("hash").over(order) == F.col("hash")) & (f("check").over(order) == F.col("check")), F.lit(False))
-    x = segs.withColumns({"_before": same(F.lag), "_behind": same(F.lead)})
-    x = x.withColumn("mixed", (F.min("hash").over(group) < F.max("hash").over(group)) | (F.min("check").over(group) < F.max("check").over(group)))
+    x = segs.withColumns({"_before": same(F.lag), "_behind": same(F.lead), "count": F.shiftright("at", 2).bitwiseAND(F.lit(255)).cast("int")})
     x = x.withColumn("again", settled | F.col("_before"))
+    x = x.withColumn("mixed", (F.min("hash").over(group) < F.max("hash").over(group)) | (F.min("check").over(group) < F.max("check").over(group)))
+    more = []
+    if length is not None:
+        x = x.withColumn("size", F.sum(F.when(F.col("again"), 0).otherwise(F.col("count") + (length - 1))).over(group))
+        more.append("size")
+    if "bytes" in segs.columns:
+        more.append(F.when(~F.col("again"), F.col("bytes")).alias("bytes"))
     x = x.withColumn("copies", (F.col("at").bitwiseAND(F.lit(1)) != 0) | F.col("again") | F.col("_behind"))
-    x = x.filter("again or copies or mixed").select("rid", F.shiftright("at", 10).cast("int").alias("first"), F.shiftright("at", 2).bitwiseAND(F.lit(255)).cast("int").alias("count"), "anchor", "hash", "again", "copies", "mixed")
+    x = x.filter("again or copies or mixed").select("rid", F.shiftright("at", 10).cast("int").alias("first"), "count", "anchor", "hash", "again", "copies", "mixed", *more)
     return materialize(x, name)
 
 

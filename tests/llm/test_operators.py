@@ -95,9 +95,9 @@ def test_suffix_array_orders_suffixes():
     assert sorted(range(400), key=lambda i: raw[i:]) == order.tolist()
 
 
-def test_exact_substrings_equal_brute_force(docs):
+def without_repeats(rows):
     seen, want = set(), {}
-    for i, text, *_ in sample():
+    for i, text, *_ in rows:
         raw = (text or "").encode()
         gone = bytearray(len(raw))
         for p in range(len(raw) - 99):
@@ -106,7 +106,30 @@ def test_exact_substrings_equal_brute_force(docs):
                 gone[p : p + 100] = b"\1" * 100
             seen.add(w)
         want[i] = (sum(gone), hashlib.sha256(bytes(b for b, x in zip(raw, gone, strict=True) if not x)).hexdigest())
-    assert {i: (r["n_removed"], r["kept_sha256"]) for i, r in found(exact_substrings.query(docs)).items()} == want
+    return want
+
+
+def removals(df):
+    return {i: (r["n_removed"], r["kept_sha256"]) for i, r in found(df).items()}
+
+
+def test_exact_substrings_equal_brute_force(docs):
+    assert removals(exact_substrings.query(docs)) == without_repeats(sample())
+
+
+@pytest.mark.parametrize("group", [1, 2000])
+def test_exact_substrings_with_a_frequent_anchor(spark, group):
+    """A passage in most documents whose surroundings agree over few bytes, so that the groups of its anchors are split."""
+    rng = random.Random(5)
+    passage, near = prose(rng, 40), [prose(rng, 20) for _ in range(3)]
+    rows = []
+    for i in range(120):
+        left, right = rng.choice(near), rng.choice(near)
+        text = prose(rng, 8) + left[rng.randrange(len(left)) :] + passage[: rng.randrange(60, len(passage))] + "é" * (i % 3) + right[: rng.randrange(len(right))] + prose(rng, 8)
+        rows.append((i, text, "en", "s", len(text)))
+    want = without_repeats(rows)
+    assert removals(exact_substrings.dedup(spark.createDataFrame(rows, SCHEMA), group=group)) == want
+    assert sum(n for n, _ in want.values()) > 5000
 
 
 def test_repeated_windows_equal_brute_force(docs):
