@@ -13,7 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshwork.engine import Engine
-from meshwork.operators import algorithms, consolidation, search, traverse
+from meshwork.operators import algorithms, consolidation, recurrent, search, traverse
+from meshwork.plans import lineage
 from meshwork.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -363,6 +364,24 @@ add("current_setting", updates("SET spill_threshold = 7", then="CALL current_set
 add("show_functions", "CALL show_functions() RETURN kind AS kind, COUNT(*) AS n")
 add("explain", "EXPLAIN MATCH (c:Customer)-[:PLACED]->(o:Orders) WHERE o.o_totalprice > 1000 RETURN c.c_name AS name")
 
+# ---- recurrent network
+
+
+def lstm_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value of each event, in units of the mean, forecast from the three before it of the same user."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    mean = events.agg(F.avg("value")).first()[0] or 1.0
+    user = W.partitionBy("user_id").orderBy("ts", "event_id")
+    scaled = events.withColumn("x", F.col("value") / F.lit(mean))
+    sequences = scaled.select("event_id", F.array("x").alias("t"), F.array(*(F.array(F.lag("x", k).over(user)) for k in (3, 2, 1))).alias("s"))
+    usable = lineage.settled(sequences.filter("t[0] is not null and forall(s, v -> v[0] is not null)"))
+    model = recurrent.Lstm(1, 4, 1)
+    recurrent.train(model, usable, "s", "t", 5, 0.05)
+    return recurrent.predict(model, usable, "s").select("event_id", F.round(F.element_at("prediction", 1), 6).alias("forecast"))
+
+
+add("lstm_forecast", lstm_forecast)
+
 # ---- beyond the reference: windows over event time
 
 add("tumbling_windows", lambda spark, sf_dir: windows.tumbling(table(spark, sf_dir, "events"), "ts", "1 hour", ["event_type"]), "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
