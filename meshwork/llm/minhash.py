@@ -132,6 +132,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: int, agree: int) -> DataF
     y = sets.select(F.col("id").alias("b"), F.col("s").alias("y"), F.col("minima").alias("my"))
     small = pairs.join(x.select("a", "mx", F.size("x").alias("nx")), "a").join(y.select("b", "my", F.size("y").alias("ny")), "b")
     likely = small.filter((100 * F.least("nx", "ny") >= least * F.greatest("nx", "ny")) & (agreement(F.col("mx"), F.col("my")) >= agree)).select("a", "b")
+    likely = materialize(likely, "likely")
     both = likely.join(x.select("a", "x"), "a").join(y.select("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.withColumn("_c", common).filter(100 * F.col("_c") >= least * (F.size("x") + F.size("y") - F.col("_c"))).select("a", "b")
@@ -268,28 +269,29 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, tables: int = TABLES, w
     sure = in_group(stats, best).filter("f + b.f <= 0 and id <> b.id").select(F.col("b.id").alias("a"), F.col("id").alias("b"))
     x, y = sides(stats)
     tied = pairs.join(x, "a").join(y, "b").filter(F.col("fa") + F.col("fb") > 0).filter(possible(least, "k")).select("a", "b")
-    near = reduce(DataFrame.unionByName, [within_few(sets, agree), tied, sharing(rare, stats, least)]).distinct()
+    near = [materialize(x, "near") for x in (within_few(sets, agree), tied, sharing(rare, stats, least))]
+    near = reduce(DataFrame.unionByName, near).distinct()
     links = [materialize(sure, "sure"), materialize(verified(near, sets, least, agree), "verified")]
 
     def labels() -> DataFrame:
         return materialize(components(reduce(DataFrame.unionByName, links)), "components")
 
-    def mixed(keys: DataFrame) -> DataFrame:
-        """Rows of buckets that hold several components, with the component and the bucket's size."""
-        x = keys.join(label.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"), "left").withColumn("c", F.coalesce("component_id", "id")).drop("_i", "component_id")
+    def placed(x: DataFrame) -> DataFrame:
+        """x (id, ...) with the component c."""
+        return x.join(label.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"), "left").withColumn("c", F.coalesce("component_id", "id")).drop("_i", "component_id")
+
+    def mixed(x: DataFrame) -> DataFrame:
+        """Rows (key, c, ...) of buckets that hold several components, with the bucket's size."""
         s = x.groupBy(F.col("key").alias("_k")).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("_k", "n")
         return in_bucket(x, "key", materialize(s, "buckets"))
 
-    def placed() -> DataFrame:
-        return stats.join(label.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"), "left").withColumn("c", F.coalesce("component_id", "id"))
-
     label = labels()
-    alive = materialize(still_open(placed(), least).drop("c", "o"), "open")
+    alive = materialize(still_open(materialize(placed(stats), "placed"), least).drop("o"), "open")
     # where few are left of a group, the group itself serves as their bucket
     left = alive.groupBy(F.col("g").alias("_g")).agg(F.max("size").alias("_size"), F.count("*").alias("left"))
-    alive = in_group(alive, left).drop("_g", "g", "size").withColumnRenamed("id", "_i")
-    alive = member.join(alive, F.col("id") == F.col("_i"))
-    cols = ("g", "size", "minima", "f", "h", "k")
+    alive = in_group(alive, left).drop("_g").withColumnRenamed("id", "_i")
+    alive = materialize(member.drop("g", "size").join(alive, F.col("id") == F.col("_i")).drop("_i"), "alive")
+    cols = ("g", "size", "minima", "f", "h", "k", "c")
     keys = alive.filter(F.col("left") <= FULL).select("id", *cols, F.xxhash64("g").alias("key"))
     rest = materialize(mixed(keys.unionByName(keyed(alive.filter(F.col("left") > FULL), *cols))), "mixed")
     torn = materialize(rest.filter(F.col("n") > FULL).groupBy(F.col("g").alias("_t")).agg(F.max("size").alias("size")), "torn")
@@ -306,11 +308,11 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, tables: int = TABLES, w
         if not found.isEmpty():
             links.append(found)
             label = labels()
-        rest = materialize(mixed(cut), "mixed")
+        rest = materialize(mixed(placed(cut)), "mixed")
     if not torn.isEmpty():
         # what the cuts have left, or torn apart
         torn = torn.withColumnsRenamed({"_t": "_g", "size": "_size"})
-        alive = materialize(in_group(still_open(placed(), least), torn).drop("_g"), "open")
+        alive = materialize(in_group(still_open(materialize(placed(stats), "placed"), least), torn).drop("_g"), "open")
         found = materialize(verified(sharing_differences(alive, sets, cores, least), sets, least, agree), "verified")
         if not found.isEmpty():
             links.append(found)

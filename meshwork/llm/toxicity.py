@@ -21,13 +21,14 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import materialize, remainder
+from meshwork.llm.common import collect_garbage, materialize, remainder
 
 TRAIN_ROWS = 20_000
 STEM = 4
@@ -109,12 +110,12 @@ def log_odds(toxic: dict[bytes, int], other: dict[bytes, int], texts: tuple[int,
     rate = texts[0] / sum(texts)
     base = math.log(rate / (1 - rate)) + DRIFT
     share = {}
-    for k in toxic.keys() | other.keys():
+    for k in chain(toxic, other.keys() - toxic.keys()):
         if k[:1] == b"^":
             t, o = toxic.get(k, 0), other.get(k, 0)
             share[k[1:]] = (t + STEM_PRIOR * rate) / (t + o + STEM_PRIOR)
     words = {}
-    for k in toxic.keys() | other.keys():
+    for k in chain(toxic, other.keys() - toxic.keys()):
         if k[:1] != b"^":
             p = share[k[:STEM]]
             words[k] = math.log((toxic.get(k, 0) + WORD_PRIOR * p) / (other.get(k, 0) + WORD_PRIOR * (1 - p))) - base
@@ -184,6 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     if not all(texts):
         return Model(intercept=-math.inf if not texts[0] else math.inf)
     model = Model(*log_odds(toxic, other, texts))
+    del counts, keys, toxic, other
+    collect_garbage(spark)
     held = spark.sparkContext.broadcast(model)
 
     def background(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from meshwork.llm import debruijn, decontaminate, exact_substrings, langid, licenses, minhash, mixing, quality, suffixes, toxicity, warc
+from meshwork.llm import common, debruijn, decontaminate, exact_substrings, langid, licenses, minhash, mixing, quality, suffixes, toxicity, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -339,3 +339,33 @@ def test_minhash_with_large_mixed_buckets(spark, monkeypatch):
     got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA))
     assert [r["component_rid"] for r in sorted(got.collect(), key=lambda r: r["_rid"])] == own
     assert 20 < len(set(own)) < 380
+
+
+def test_minhash_plans_stay_small(spark, monkeypatch):
+    """The driver holds a plan and what its tasks report until it ends, so long plans are written in steps."""
+    seen = []
+
+    def counted(df, name):
+        seen.append((df._jdf.queryExecution().executedPlan().toString().count("Exchange "), name))
+        return common.materialize(df, name)
+
+    monkeypatch.setattr(minhash, "materialize", counted)
+    monkeypatch.setattr(minhash, "FULL", 8)
+    rng = random.Random(12)
+    rows = []
+    for i in range(150):
+        words = [f"w{k}" for k in range(204)]
+        for k in rng.sample(range(20), rng.randrange(4, 13)):
+            words[10 * k + 5] = f"v{k}"
+        rows.append((i, " ".join(words), None, None, 0))
+    rows += [(200 + i, " ".join(f"w{i // 2}x{k}" for k in range(50 + i % 2)), None, None, 0) for i in range(40)]
+    assert minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).filter("_rid >= 200 and component_rid = _rid").count() == 20
+    assert {"open", "mixed", "cut", "verified"} <= {name for _, name in seen}
+    assert max(seen)[0] <= 12, sorted(seen)[-9:]
+
+
+def test_freed_native_memory_of_the_driver_is_returned(spark):
+    said = common.trim_native_heap(spark)
+    if said is None:
+        pytest.skip("this JVM has no such command")
+    assert said.startswith("Trim native heap: ")
