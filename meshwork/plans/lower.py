@@ -529,6 +529,119 @@ class Lowering:
         flat = rebuild(c, lambda x: n.Call("coalesce", (n.Var(marks[x]), n.Lit(False))) if isinstance(x, n.Exists) else None)
         return df.filter(self.column(Scope(df, vars_), flat)).drop(*marks.values())
 
+    # -- counting
+
+    def tallied(self, m: n.Match, p: n.Projection) -> tuple[Scope, n.Projection] | None:
+        """The match and a projection that only counts rows, without making the rows that it counts.
+
+        Where the patterns form a tree, what hangs from a node and isn't asked for is counted by that node before the
+        join; COUNT(*) becomes the sum of the products. A hub's branches then cost what they hold, not all combinations.
+        None where this doesn't apply.
+        """
+        exprs = [e for e, *_ in p.items] + [e for e, _ in p.order if isinstance(e, n.Expr)]
+        calls = [x for e in exprs for x in parts(e) if is_aggregate(x)]
+        wheres = conjuncts(m.where)
+        if m.fts or p.everything or not calls or any(x.name != "count" or x.args and not x.star for x in calls) or any(isinstance(x, n.Exists) for e in (*exprs, *wheres) for x in parts(e)):
+            return None
+        tree = self.tree(m.patterns)
+        if tree is None:
+            return None
+        points, links = tree
+        ends = {e.var: {u, v} for u, e, v in links if e.var}
+        named = lambda e: {x.name for x in parts(e) if isinstance(x, n.Var)} & {*points, *ends}
+        asked = {v for e in exprs for v in named(e)} | {v for c in wheres if len(named(c)) > 1 for v in named(c)}
+        kept = {x for v in asked for x in ends.get(v, {v})} or {max(points, key=lambda v: sum(v in (a, b) for a, _, b in links))}
+        left = list(links)
+        while leaf := next((k for k in left for a in (k[0], k[2]) if a not in kept and sum(a in (x, y) for x, _, y in left) == 1), None):
+            left.remove(leaf)
+        gone = [k for k in links if k not in left]
+        if not gone:
+            return None
+        kept |= {v for u, _, w in left for v in (u, w)}
+
+        def local(scope: Scope, var: str | None) -> Scope:
+            for c in wheres:
+                if var is not None and named(c) == {var}:
+                    scope = self.where(scope, c)
+            return scope
+
+        def tally(u: str, k: tuple, column: str) -> tuple[DataFrame, str]:
+            """(near, column): how many ways there are through link k for each node at its end u."""
+            a, e, b = k
+            v = b if u == a else a
+            turn = {"out": "in", "in": "out", "both": "both"}
+            way = self.fits(self.catalog.rels[e.label], points[u].label, points[v].label, e.direction if u == a else turn[e.direction])
+            edges, binding, near, far = self.scan_rel(e.label, way)
+            scope = local(self.by_props(Scope(edges, {e.var or "_edge": binding}), e.var or "_edge", e), e.var)
+            df, x, below = scope.df, points[v], [j for j in gone if j != k and v in (j[0], j[2])]
+            if not x.var.startswith(" ") or x.props or below:
+                nodes, node = self.scan_node(x.label)
+                own = Scope(nodes, {v: node})
+                own, weights = branches(local(Scope(self.filtered(own, v, x, own), own.vars), v), v, below)
+                df = df.join(own.df, F.col(far) == F.col(node.id))
+            else:
+                weights = []
+            return df.groupBy(near).agg((F.sum(self.product(weights)) if weights else F.count(F.lit(1))).alias(column)), near
+
+        def branches(scope: Scope, u: str, below: list[tuple]) -> tuple[Scope, list[str]]:
+            weights = []
+            for k in below:
+                w = f"ways_{next(_fresh)}"
+                df, near = tally(u, k, w)
+                scope = Scope(scope.df.join(df, F.col(scope.vars[u].id) == F.col(near)), scope.vars)
+                weights.append(w)
+            return scope, weights
+
+        patterns = [n.Pattern((points[u], points[v]), (e,)) for u, e, v in left] or [n.Pattern((points[next(iter(kept))],))]
+        scope = Scope(None)
+        while patterns:  # each touches what is already there
+            i = next(i for i, x in enumerate(patterns) if not scope.vars or any(y.var in scope.vars for y in x.nodes))
+            scope = self.match(Scope(scope.df, scope.vars), (patterns.pop(i),))
+        for c in wheres:
+            if not named(c) or named(c) <= {*kept, *(e.var for _, e, _ in left)}:
+                scope = self.where(scope, c)
+        weights = []
+        for u in sorted(kept):
+            scope, more = branches(scope, u, [k for k in gone if u in (k[0], k[2])])
+            weights += more
+        total = f"_ways{next(_fresh)}"
+        scope = scope.with_(scope.df.withColumn(total, self.product(weights)), **{total: Value(total)})
+        count = n.Call("coalesce", (n.Call("sum", (n.Var(total),)), n.Lit(0)))
+        swap = lambda e: rebuild(e, lambda x: count if is_aggregate(x) else None)
+        items = tuple((swap(e), alias, text) for e, alias, text in p.items)
+        return scope, replace(p, items=items, order=tuple((swap(e), asc) for e, asc in p.order))
+
+    def product(self, columns: list[str]) -> Column:
+        out = F.col(columns[0])
+        for c in columns[1:]:
+            out = out * F.col(c)
+        return out
+
+    def tree(self, patterns: tuple[n.Pattern, ...]) -> tuple[dict[str, n.NodePattern], list[tuple[str, n.EdgePattern, str]]] | None:
+        """The patterns' nodes by variable and their links, if all labels are given and the links form one tree."""
+        points: dict[str, n.NodePattern] = {}
+        links: list[tuple[str, n.EdgePattern, str]] = []
+        for p in patterns:
+            names = [x.var or f" {next(_fresh)}" for x in p.nodes]  # no text has such a name
+            for name, x in zip(names, p.nodes, strict=True):
+                old = points.get(name, n.NodePattern(name, None))
+                if x.label and old.label and x.label != old.label:
+                    return None
+                points[name] = n.NodePattern(name, old.label or x.label, (*old.props, *x.props))
+            links += [(a, e, b) for a, e, b in zip(names, p.edges, names[1:])]
+        given = [v for x in (*points.values(), *(e for _, e, _ in links)) for _, v in x.props]
+        rels = [e.var for _, e, _ in links if e.var]
+        if len(links) < 2 or len(links) != len(points) - 1 or not all(isinstance(v, (n.Lit, n.Param)) for v in given) or len({*rels, *points}) < len(rels) + len(points):
+            return None
+        if any(x.label not in self.catalog.nodes for x in points.values()) or any(e.hops is not None or e.label not in self.catalog.rels for _, e, _ in links):
+            return None
+        if any(self.fits(self.catalog.rels[e.label], points[a].label, points[b].label, e.direction) is None for a, e, b in links):
+            return None
+        seen = {next(iter(points))}
+        while more := {v for a, _, b in links for v in (a, b) if {a, b} & seen} - seen:
+            seen |= more
+        return (points, links) if len(seen) == len(points) else None
+
     # -- projections
 
     def project(self, scope: Scope, p: n.Projection) -> Scope:
@@ -647,9 +760,14 @@ class Lowering:
     def clauses(self, scope: Scope, clauses: tuple[Any, ...]) -> Scope:
         from meshwork.plans import updates
 
-        for c in clauses:
+        waiting = list(clauses)
+        while waiting:
+            c = waiting.pop(0)
             if isinstance(c, n.Match):
-                if c.optional and scope.df is not None:
+                plain = scope.df is None and not c.optional and waiting and isinstance(waiting[0], n.Projection)
+                if plain and (counted := self.tallied(c, waiting[0])):
+                    scope, waiting[0] = counted
+                elif c.optional and scope.df is not None:
                     scope = self.optional(scope, c)
                 elif c.optional:
                     scope = self.optional(Scope(self.one_row()), c)

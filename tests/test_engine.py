@@ -66,6 +66,51 @@ def test_updates_make_new_versions(g):
     assert rows(g.cypher("MATCH (a:P {id: 9}) RETURN a.name AS n")) == [("met",)]
 
 
+def joined_rows(df):
+    """The most rows that an operator of df's plan made."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    most, left = 0, [plan.finalPhysicalPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan]
+    while left:
+        x = left.pop()
+        if x.getClass().getSimpleName().endswith("QueryStageExec"):
+            left.append(x.plan())
+        m = x.metrics().get("numOutputRows")
+        most = max(most, m.get().value()) if m.isDefined() else most
+        left += [x.children().apply(i) for i in range(x.children().size())]
+    return most
+
+
+@pytest.fixture
+def star(spark):
+    """One hub H 0 under 300 of A and 200 of B; A 7 is also under H 1."""
+    e = Engine(spark)
+    e.node_table("H", "id", spark.createDataFrame([(0, "x"), (1, "y")], "id long, name string"))
+    e.node_table("R", "id", spark.createDataFrame([(5, "r")], "id long, name string"))
+    for label, n in (("A", 300), ("B", 200)):
+        e.node_table(label, "id", spark.range(n).selectExpr("id", "id % 10 AS size"))
+        e.rel_table(f"{label}H", label, "H", spark.range(n).selectExpr("id AS _src", "0L AS _dst").union(spark.createDataFrame([(7, 1)], "_src long, _dst long")))
+    e.rel_table("HR", "H", "R", spark.createDataFrame([(0, 5), (1, 5)], "_src long, _dst long"))
+    return e
+
+
+def test_branches_of_a_hub_are_counted_before_they_meet(star):
+    got = star.cypher("MATCH (h:H)<-[:AH]-(a:A), (h)<-[:BH]-(b:B), (h)-[:HR]->(r:R) WHERE a.size > 4 RETURN h.name AS h, r.name AS r, COUNT(*) AS n")
+    assert rows(got) == [("x", "r", 150 * 200), ("y", "r", 1)] and joined_rows(got) < 1000
+
+
+@pytest.mark.parametrize(("text", "expected"), [
+    ("MATCH (a:A)-[:AH]->(h:H)<-[:BH]-(:B) RETURN COUNT(*) AS n", [(60001,)]),
+    ("MATCH (a:A)-[:AH]->(:H)<-[:BH]-(b:B {size: 3}) WHERE a.id < 2 RETURN a.id AS a, COUNT(*) + 1 AS n", [(0, 21), (1, 21)]),
+    ("MATCH (r:R)<-[:HR]-(h:H)<-[:AH]-(a:A), (h)<-[e:BH]-(b:B) WHERE e._src < 10 AND a.id >= 0 RETURN r.id AS r, COUNT(*) AS n ORDER BY COUNT(*)", [(5, 3001)]),
+    ("MATCH (a:A)-[:AH]->(h:H)<-[:BH]-(b:B) WHERE a.id = b.id RETURN h.id AS h, COUNT(*) AS n", [(0, 200), (1, 1)]),
+    ("MATCH (a:A)-[:AH]->(h:H)<-[:BH]-(b:B) WHERE a.id < 0 RETURN COUNT(*) AS n", [(0,)]),
+    ("MATCH (a:A)-[:AH]->(h:H)<-[:BH]-(b:B) WHERE h.id = 0 WITH h, COUNT(*) AS n MATCH (h)-[:HR]->(r:R) RETURN h.name AS h, r.name AS r, n AS n", [("x", "r", 60000)]),
+])
+def test_counts_over_branches(star, text, expected):
+    assert rows(star.cypher(text)) == expected
+
+
 @pytest.fixture(scope="module")
 def lands(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("lands"))
