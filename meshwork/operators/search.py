@@ -50,6 +50,39 @@ def bm25(index: tuple[DataFrame, DataFrame, DataFrame], query: str, k1: float =
     return found.groupBy("doc_id").agg(F.sum(idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * norm)).alias("score"))
 
 
+def bm25_scan(docs: DataFrame, key: str, text: str, query: str, k1: float = 1.5, b: float = 0.0, stemmed: bool = True) -> DataFrame:
+    """bm25 of one query over texts without an index: (doc_id, score), as bm25 of their postings gives them.
+
+    Stems are taken of the distinct words only; those of the query's terms and of stop words, a few forms each, go back
+    into a scan that counts them inside each text. No row is made for a word.
+    """
+    words = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), text_search.tokens(F.col(text)).alias("words"))
+    wanted = sorted(r["term"] for r in query_terms(docs.sparkSession, query, stemmed).collect())
+    forms = {t: [t] for t in [*wanted, *text_search.STOP_WORDS]}
+    if stemmed:
+        distinct = words.select(F.explode("words").alias("word")).distinct()
+        # stems take longer than the few bytes of a vocabulary let on
+        distinct = distinct.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism)
+        stems = distinct.select("word", text_search.stem(F.col("word")).alias("term"))
+        forms = {t: [] for t in forms}
+        for r in stems.filter(F.col("term").isin(*forms)).collect():
+            forms[r["term"]].append(r["word"])
+    skipped = [w for t in text_search.STOP_WORDS for w in forms[t]]
+    left = F.filter("words", lambda w: ~w.isin(*skipped)) if skipped else F.col("words")
+    length = F.size(left) if b else F.exists("words", lambda w: ~w.isin(*skipped)).cast("int") if skipped else (F.size("words") > 0).cast("int")
+    count = lambda found: F.size(F.filter("words", lambda w: w.isin(*found))) if found else F.lit(0)
+    found = words.select("doc_id", length.alias("len"), *(count(forms[t]).alias(f"tf_{i}") for i, t in enumerate(wanted)))
+    tf = [f"tf_{i}" for i in range(len(wanted))]
+    found = written(found.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ["len", *tf])).filter("len > 0"))
+    stats = found.agg(F.count("*"), F.avg("len"), *(F.count_if(F.col(c) > 0) for c in tf)).first()
+    n, mean = stats[0], stats[1] or 1.0
+    norm = 1 - b + (b * F.col("len") / mean if b else F.lit(0.0))
+    score = F.lit(0.0)
+    for c, df in zip(tf, stats[2:], strict=True):
+        score += F.log(F.lit((n - df + 0.5) / (df + 0.5) + 1)) * F.col(c) * (k1 + 1) / (F.col(c) + k1 * norm)
+    return found.filter(" OR ".join(f"{c} > 0" for c in tf) or "false").select("doc_id", score.alias("score"))
+
+
 def tf_idf(index: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
     """(doc_id, term, score): tf * ln(N / df)."""
     lengths, terms, post = index

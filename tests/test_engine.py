@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from meshwork.engine import Engine
 from meshwork.functions.text_search import stem_word
-from meshwork.operators import algorithms
+from meshwork.operators import algorithms, search
 from meshwork.plans.parser import ParseError, parse
 from meshwork.queries import QUERIES, graph
 
@@ -236,6 +236,22 @@ def test_full_text_index_follows_updates(g):
     assert find("p3") == [(3,)]
 
 
+@pytest.mark.parametrize("b", [0.0, 0.75])
+def test_bm25_without_an_index_makes_no_row_per_word(spark, b):
+    texts = ["Licensed under licenses, licensing a license", "under the sun", "the of and", "", None, "License's sun " * 50, "under " * 3, "the license"]
+    docs = spark.createDataFrame(list(enumerate([*texts, *["sun moon"] * 90])), "id long, text string").union(spark.createDataFrame([(1, "license")], "id long, text string"))
+    expected = {k: round(v, 9) for k, v in search.bm25(search.postings(docs, "id", "text"), "under the license", b=b).collect()}
+    got = search.bm25_scan(docs, "id", "text", "under the license", b=b)
+    assert {k: round(v, 9) for k, v in got.collect()} == expected and set(expected) == {0, 1, 7}
+    assert joined_rows(got) <= 98
+    assert search.bm25_scan(docs, "id", "text", "the of", b=b).collect() == []
+
+
+def test_hybrid_search_scans_texts_without_postings(spark, monkeypatch):
+    monkeypatch.delattr(search, "postings")
+    assert len(QUERIES["hybrid_search"][0](spark, "/root/testdata/sf0.001").collect()) == 10
+
+
 def test_louvain_finds_cliques(spark):
     edges = [(a, b) for k in (0, 10) for a in range(k, k + 4) for b in range(a + 1, k + 4)] + [(3, 10)]
     got = algorithms.louvain(spark.createDataFrame(edges, "src long, dst long")).collect()
