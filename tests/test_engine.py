@@ -3,6 +3,7 @@
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from meshwork.engine import Engine
 from meshwork.functions.text_search import stem_word
@@ -153,6 +154,18 @@ def test_components_triangles_and_ranks(g):
     assert abs(sum(ranks.values()) - 1) < 1e-6 and ranks[2] > ranks[0] > ranks[3] > ranks[6]
 
 
+def counted_edges(spark, calls):
+    """Six edges of a triangle, a tail and a pair; each run of what makes them adds to calls."""
+    made = F.udf(lambda x: calls.add(1) or x, "long").asNondeterministic()
+    return spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 3), (4, 5), (3, 3)], "src long, dst long").select(made("src").alias("src"), "dst")
+
+
+@pytest.mark.parametrize("algorithm", [algorithms.page_rank])
+def test_what_makes_the_edges_runs_once(spark, algorithm):
+    calls = spark.sparkContext.accumulator(0)
+    assert algorithm(counted_edges(spark, calls)).count() == 6 and calls.value == 6
+
+
 def test_empty_and_clashing_names(spark):
     e = Engine(spark)
     e.node_table("N", "id", spark.createDataFrame([], "id long, _src long, score double"))
