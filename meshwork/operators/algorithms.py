@@ -165,11 +165,14 @@ def label_propagation(edges: DataFrame, vertices: DataFrame | None = None, round
 
 def triangles(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """(node_id, triangles). Edges point from the lower to the higher degree, so hubs have few out-edges to pair."""
+    edges = settled(edges.select("src", "dst"))  # what makes the edges runs once
     both = settled(simple(edges))
     degree = both.groupBy("src").agg(F.count("*").alias("deg"))
     a, b = degree.select(F.col("src"), F.col("deg").alias("da")), degree.select(F.col("src").alias("dst"), F.col("deg").alias("db"))
-    e = settled(both.join(a, "src").join(b, "dst").filter("da < db or (da = db and src < dst)").select("src", "dst"))
-    wedge = e.select("src", F.col("dst").alias("x")).join(e.select("src", F.col("dst").alias("y")), "src")
+    e = settled(both.join(a, "src").join(b, "dst").filter("da < db or (da = db and src < dst)").select("src", "dst", "db"))
+    # the edge that closes a wedge points the same way, so each pair is made in that order alone
+    x, y = (e.select("src", F.col("dst").alias(c), F.col("db").alias(f"d{c}")) for c in "xy")
+    wedge = x.join(y, "src").filter("dx < dy or (dx = dy and x < y)").select("src", "x", "y")
     closed = wedge.join(e.select(F.col("src").alias("x"), F.col("dst").alias("y")), ["x", "y"])
     corners = closed.select(F.explode(F.array("src", "x", "y")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
     return all_ids(edges, vertices).join(corners, "id", "left").select(F.col("id").alias("node_id"), F.coalesce("n", F.lit(0)).cast("long").alias("triangles"))

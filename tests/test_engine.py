@@ -160,7 +160,7 @@ def counted_edges(spark, calls):
     return spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 3), (4, 5), (3, 3)], "src long, dst long").select(made("src").alias("src"), "dst")
 
 
-@pytest.mark.parametrize("algorithm", [algorithms.page_rank])
+@pytest.mark.parametrize("algorithm", [algorithms.page_rank, algorithms.triangles])
 def test_what_makes_the_edges_runs_once(spark, algorithm):
     calls = spark.sparkContext.accumulator(0)
     assert algorithm(counted_edges(spark, calls)).count() == 6 and calls.value == 6
